@@ -139,8 +139,36 @@ def referral_joined(report: DataFrame, managed_cols) -> DataFrame:
 
 def referral(report: DataFrame, managed_cols, digits: int = 2) -> DataFrame:
     """Proportion of managed under-5 cases that were referred, by district,
-    month, gender and disease; proportions above 1 are kept as NULL."""
-    matched = not_null(referral_joined(report, managed_cols), "stat2")
+    month, gender and disease; proportions above 1 are kept as NULL.
+
+    Same result as "referred ⟕ managed on the seven keys (NULL matches NULL),
+    keep matched rows, sum both counts" — including the fan-out when a key
+    repeats — but planned without a join. Both sides come from the same
+    report rows, so every count cell becomes one row tagged with its side
+    (a row-local generator, one scan) and is aggregated once on the seven
+    keys. For a key with referral counts R and managed counts M the join
+    yields |R|·|M| rows, whose sums are sum(R)·|M| and sum(M)·|R|; keys with
+    no managed row are the unmatched ones. Both aggregations are partial +
+    final, so a hot key is folded map-side.
+    """
+    referred_cols = cols_matching(report, "referred")
+    sel = report.select(*REPORT_IDS, *as_list(managed_cols))
+    managed = cols_matching(sel, "5")
+    cells = [F.struct(F.lit("M").alias("side"), F.lit(c).alias("stat"),
+                      F.col(c).cast("double").alias("n")) for c in managed]
+    cells += [F.struct(F.lit("R").alias("side"), F.lit(c).alias("stat"),
+                       F.col(c).cast("double").alias("n")) for c in referred_cols]
+    long = report.select(*REPORT_IDS, F.inline(F.array(*cells))).filter(F.col("n").isNotNull())
+    long = classify_stat(long, "stat")
+    is_r, is_m = F.col("side") == F.lit("R"), F.col("side") == F.lit("M")
+    per_key = group_agg(long, REFERRAL_KEYS, {
+        "sum_r": F.sum(F.when(is_r, F.col("n"))), "cnt_r": count_if(is_r),
+        "sum_m": F.sum(F.when(is_m, F.col("n"))), "cnt_m": count_if(is_m),
+    })
+    matched = per_key.filter((F.col("cnt_r") > 0) & (F.col("cnt_m") > 0)).select(
+        "district", "period", "gender", "disease",
+        (F.col("sum_r") * F.col("cnt_m")).alias("referral_count"),
+        (F.col("sum_m") * F.col("cnt_r")).alias("managed_count"))
     out = ratio_of_sums(matched, ["district", "period", "gender", "disease"],
                         "referral_count", "managed_count", "prop_referred", digits)
     return range_censor(out, "prop_referred", 0.0, 1.0)
