@@ -28,7 +28,7 @@ from kpiframe.plans.sql import (
     sql_string,
     with_ctes,
 )
-from kpiframe.session import scratch_path
+from kpiframe.session import scratch_path, shared_dir
 from kpiframe.sources import files as S
 from kpiframe.sources import generators as G
 from kpiframe.sources.literals import KPI_DICTIONARY_ROWS, kpi_dictionary
@@ -139,11 +139,20 @@ SELECT grid.district, grid.period, agg.expected_reports
 FROM grid LEFT JOIN agg ON grid.district = agg.district AND grid.period = agg.period""")
 def q_panel_grid(spark, d):
     """Every district × every month between the first and last reported month;
-    months without reports stay in the panel with a missing value."""
+    months without reports stay in the panel with a missing value.
+
+    The (district, month) aggregate is small (districts × months) and is used
+    three times (entities, month range, values), so it is checkpointed once to
+    the shared checkpoint folder: the fact table is scanned once and the
+    lineage is cut.
+    """
     fm = V.facility_month(spark, d)
-    rng = fm.agg(F.struct(F.min("period").alias("lo"), F.max("period").alias("hi"))).scalar()
-    grid = G.panel_grid(fm.select("district").distinct(), rng["lo"], rng["hi"])
-    agg = fm.groupBy("district", "period").agg(F.sum("expected_reports").alias("expected_reports"))
+    shared_dir(spark)  # make sure a checkpoint folder is set (read from the session)
+    agg = fm.groupBy("district", "period") \
+        .agg(F.sum("expected_reports").alias("expected_reports")).checkpoint(eager=True)
+    months = agg.agg(F.sequence(F.min("period"), F.max("period"),
+                                F.expr("INTERVAL 1 MONTH")).alias("m")).scalar()
+    grid = agg.select("district").distinct().select("district", F.explode(months).alias("period"))
     return grid.join(agg, ["district", "period"], "left") \
         .select("district", "period", "expected_reports")
 
@@ -171,14 +180,20 @@ SELECT res.district, res.period, res.kpi, res.value, dict.description, dict.disa
 FROM res LEFT JOIN dict ON res.kpi = dict.kpi""")
 def q_kpi_dictionary(spark, d):
     """KPI results in long form annotated from the KPI dictionary (a fixed
-    20-row table: broadcast)."""
+    20-row table: broadcast). Both KPIs come out of one aggregation of the
+    report, then one row-local unpivot."""
     fm = V.facility_month(spark, d)
-    comp = K.completeness(fm).select("district", "period", F.lit("RHCC15").alias("kpi"),
-                                     F.col("completeness").alias("value"))
-    stock = K.stockout_combined(fm, V.STOCK_COLUMNS, 1.0)
-    stock = stock.select("district", "period", F.lit("RHCC11").alias("kpi"),
-                         X.complement(F.col("percent_stocked_out")).alias("value"))
-    res = O.append(comp, stock)
+    stock = X.row_sum(*[X.null_to_zero(c) for c in V.STOCK_COLUMNS])
+    g = O.group_agg(fm, ["district", "period"], {
+        "actual": X.sum_na("actual_reports"),
+        "expected": X.sum_na("expected_reports"),
+        "n": F.count(F.lit(1)),
+        "k": X.count_if(stock < F.lit(1.0)),
+    })
+    wide = g.select("district", "period",
+                    X.proportion_of("actual", "expected", 2).alias("RHCC15"),
+                    X.complement(X.percent_of("k", "n", 2)).alias("RHCC11"))
+    res = O.to_long(wide, ["district", "period"], ["RHCC15", "RHCC11"], "kpi", "value")
     return res.join(F.broadcast(kpi_dictionary(spark)), "kpi", "left") \
         .select("district", "period", "kpi", "value", "description", "disaggregation")
 

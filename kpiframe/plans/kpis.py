@@ -131,10 +131,37 @@ def referred_long(report: DataFrame) -> DataFrame:
     return classify_stat(long, "stat")
 
 
+def count_cells(report: DataFrame, managed_cols) -> DataFrame:
+    """Every present managed / referred count cell as a row tagged with its
+    side (``M`` / ``R``) and classified by its column name.
+
+    One row-local generator over one projection of the report, so both sides
+    of the referral pairing come from a single scan.
+    """
+    referred_cols = cols_matching(report, "referred")
+    managed = cols_matching(report.select(*REPORT_IDS, *as_list(managed_cols)), "5")
+    cells = [F.struct(F.lit("M").alias("side"), F.lit(c).alias("stat"),
+                      F.col(c).cast("double").alias("n")) for c in managed]
+    cells += [F.struct(F.lit("R").alias("side"), F.lit(c).alias("stat"),
+                       F.col(c).cast("double").alias("n")) for c in referred_cols]
+    long = report.select(*REPORT_IDS, F.inline(F.array(*cells))).filter(F.col("n").isNotNull())
+    return classify_stat(long, "stat")
+
+
 def referral_joined(report: DataFrame, managed_cols) -> DataFrame:
-    """Referral rows with their managed counts (NULL when there is none)."""
-    return left_join_nullsafe(referred_long(report), managed_long(report, managed_cols),
-                              REFERRAL_KEYS)
+    """Referral rows with their managed counts (NULL when there is none):
+    referred ⟕ managed on the seven keys, NULL matching NULL.
+
+    Both sides are filters of the same tagged cell table, so the report below
+    them is one plan and its shuffle is computed once and reused.
+    """
+    cells = count_cells(report, managed_cols)
+    side = F.col("side")
+    refs = cells.filter(side == F.lit("R")).select(
+        *REFERRAL_KEYS, "stat", F.col("n").alias("referral_count"))
+    mans = cells.filter(side == F.lit("M")).select(
+        *REFERRAL_KEYS, F.col("stat").alias("stat2"), F.col("n").alias("managed_count"))
+    return left_join_nullsafe(refs, mans, REFERRAL_KEYS)
 
 
 def referral(report: DataFrame, managed_cols, digits: int = 2) -> DataFrame:
@@ -151,15 +178,7 @@ def referral(report: DataFrame, managed_cols, digits: int = 2) -> DataFrame:
     no managed row are the unmatched ones. Both aggregations are partial +
     final, so a hot key is folded map-side.
     """
-    referred_cols = cols_matching(report, "referred")
-    sel = report.select(*REPORT_IDS, *as_list(managed_cols))
-    managed = cols_matching(sel, "5")
-    cells = [F.struct(F.lit("M").alias("side"), F.lit(c).alias("stat"),
-                      F.col(c).cast("double").alias("n")) for c in managed]
-    cells += [F.struct(F.lit("R").alias("side"), F.lit(c).alias("stat"),
-                       F.col(c).cast("double").alias("n")) for c in referred_cols]
-    long = report.select(*REPORT_IDS, F.inline(F.array(*cells))).filter(F.col("n").isNotNull())
-    long = classify_stat(long, "stat")
+    long = count_cells(report, managed_cols)
     is_r, is_m = F.col("side") == F.lit("R"), F.col("side") == F.lit("M")
     per_key = group_agg(long, REFERRAL_KEYS, {
         "sum_r": F.sum(F.when(is_r, F.col("n"))), "cnt_r": count_if(is_r),
