@@ -131,6 +131,18 @@ def referred_long(report: DataFrame) -> DataFrame:
     return classify_stat(long, "stat")
 
 
+def _cell(side: str, name: str):
+    # labels depend only on the column name: built over a literal, Catalyst
+    # folds them at plan time, so no regex runs per row
+    lit = F.lit(name)
+    return F.struct(F.lit(side).alias("side"), lit.alias("stat"),
+                    F.col(name).cast("double").alias("n"),
+                    F.when(F.coalesce(lit.rlike(AGE_RULE), F.lit(False)), F.lit("Under 5"))
+                    .otherwise(F.lit("All Ages")).alias("age_group"),
+                    classify(lit, GENDER_RULES, default="Combined").alias("gender"),
+                    classify(lit, DISEASE_RULES).alias("disease"))
+
+
 def count_cells(report: DataFrame, managed_cols) -> DataFrame:
     """Every present managed / referred count cell as a row tagged with its
     side (``M`` / ``R``) and classified by its column name.
@@ -140,12 +152,8 @@ def count_cells(report: DataFrame, managed_cols) -> DataFrame:
     """
     referred_cols = cols_matching(report, "referred")
     managed = cols_matching(report.select(*REPORT_IDS, *as_list(managed_cols)), "5")
-    cells = [F.struct(F.lit("M").alias("side"), F.lit(c).alias("stat"),
-                      F.col(c).cast("double").alias("n")) for c in managed]
-    cells += [F.struct(F.lit("R").alias("side"), F.lit(c).alias("stat"),
-                       F.col(c).cast("double").alias("n")) for c in referred_cols]
-    long = report.select(*REPORT_IDS, F.inline(F.array(*cells))).filter(F.col("n").isNotNull())
-    return classify_stat(long, "stat")
+    cells = [_cell("M", c) for c in managed] + [_cell("R", c) for c in referred_cols]
+    return report.select(*REPORT_IDS, F.inline(F.array(*cells))).filter(F.col("n").isNotNull())
 
 
 def referral_joined(report: DataFrame, managed_cols) -> DataFrame:

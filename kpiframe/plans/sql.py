@@ -22,7 +22,7 @@ fm AS (
   JOIN supplier s ON l.l_suppkey = s.s_suppkey
   JOIN nation n ON s.s_nationkey = n.n_nationkey
   JOIN region r ON n.n_regionkey = r.r_regionkey
-  GROUP BY 1, 2, 3, 4, 5
+  GROUP BY s.s_suppkey, 1, 2, 3, 4, 5
 )"""
 
 TRAINING = """
