@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from kpiframe import functions as X
 from kpiframe import operators as O
+from kpiframe.plans import ingest as I
 from kpiframe.plans import kpis as K
 from kpiframe.plans import panels as P
 from kpiframe.plans import views as V
@@ -118,6 +119,38 @@ def q_multi_file_scan(spark, d):
                        "o_totalprice", "o_orderdate", "o_orderpriority")
 
 
+REPORT_DISPLAY_HEADERS = {
+    "facility": "Organisation Unit Name", "periodname": "Period Name",
+    "stock_a": "Stock A", "stock_n": "Stock N", "stock_r": "Stock R",
+    "diarrhoea_5_female": "Diarrhoea 5 Female", "pneumonia_male_5": "Pneumonia Male 5",
+    "malaria_treated_5yrs": "Malaria Treated 5yrs",
+    "diarrhoea_referred_5_female": "Diarrhoea Referred 5 Female",
+    "pneumonia_referred_male_5": "Pneumonia Referred Male 5",
+    "malaria_referred_5yrs": "Malaria Referred 5yrs",
+    "actual_reports": "Actual Reports", "expected_reports": "Expected Reports",
+}
+NOT_FACILITIES = ["Supplier#000000000", "Supplier#000000007"]
+
+
+@query("ingest_reports", FM + """
+SELECT district, facility, period, periodname, stock_a, stock_n, stock_r, diarrhoea_5_female,
+       pneumonia_male_5, malaria_treated_5yrs, diarrhoea_referred_5_female,
+       pneumonia_referred_male_5, malaria_referred_5yrs, actual_reports, expected_reports
+FROM fm WHERE facility NOT IN ('Supplier#000000000', 'Supplier#000000007')""")
+def q_ingest_reports(spark, d):
+    """The report exported as one CSV folder per district with display headers,
+    then ingested back: one glob scan, header normalisation, district from the
+    folder, month parsed from its name, unit renamed, non-facilities dropped."""
+    fm = V.facility_month(spark, d)
+    path = scratch_path(spark, "ingest_reports")
+    cols = [F.col(c).alias(h) for c, h in REPORT_DISPLAY_HEADERS.items()]
+    fm.select(F.col("district").alias("District"), *cols) \
+        .write.partitionBy("District").option("header", "true").csv(path)
+    schema = ", ".join(f"`{h}` {'string' if c in ('facility', 'periodname') else 'double'}"
+                       for c, h in REPORT_DISPLAY_HEADERS.items())
+    return I.facility_reports(spark, f"{path}/District=*/*.csv", schema, exclude=NOT_FACILITIES)
+
+
 @query("tag_union", """
 SELECT *, 'F' AS batch FROM orders WHERE o_orderstatus = 'F'
 UNION ALL SELECT *, 'O' AS batch FROM orders WHERE o_orderstatus = 'O'

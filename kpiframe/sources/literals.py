@@ -34,18 +34,18 @@ KPI_DICTIONARY_ROWS = [
 # District CHW training targets of the main page (first match
 # wins) and the national total, which is an input of its own (it is not the
 # sum of the district targets).
-ZAMBIA_DISTRICT_TARGETS = [
+CHW_DISTRICT_TARGETS = [
     ("Kasama", 747.0),
     ("Chisamba", 346.0),
     ("Ngabwe", 94.0),
     ("Luwingu", 226.0),
     ("Chilubi", 241.0),
 ]
-ZAMBIA_NATIONAL_TARGET = 2086.0
+CHW_NATIONAL_TARGET = 2086.0
 
 # Facility names that are aggregate levels (ministry, province, district)
 # and must not be counted as facilities.
-ZAMBIA_AGGREGATE_UNITS = [
+AGGREGATE_UNIT_NAMES = [
     "zm Zambia Ministry of Health",
     "no Northern Province",
     "no Kasama District",

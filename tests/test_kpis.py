@@ -56,9 +56,9 @@ def test_training_kpis(spark):
     assert base["Ngabwe"].male_chws_equipped == 0.0               # missing answer → missing → sum 0
     assert base["Luwingu"].female_chws_trained == 0.0             # all-missing sum is 0
     targets = [("Kasama", 747.0), ("Ngabwe", 94.0)]
-    tgt = {r.district: r for r in K.target_reached(K.training_base(tr), targets, 2086.0, "Zambia").collect()}
+    tgt = {r.district: r for r in K.target_reached(K.training_base(tr), targets, 2086.0, "National").collect()}
     assert tgt["Kasama"].target_chws == 747.0 and tgt["Kasama"].chws_trained == 4.0
-    assert tgt["Zambia"].chws_trained == 11.0 and tgt["Zambia"].target_chws == 2086.0
+    assert tgt["National"].chws_trained == 11.0 and tgt["National"].target_chws == 2086.0
     assert tgt["Luwingu"].target_chws is None and tgt["Luwingu"].pct_label is None
     assert tgt["Ngabwe"].pct_trained == 7.0 and tgt["Ngabwe"].pct_label == "7%"
     pct = {(r.district, r.stat): r["count"] for r in K.pct_equipped(K.training_base(tr)).collect()}

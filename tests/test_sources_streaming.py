@@ -88,3 +88,45 @@ def test_refresh_once_is_incremental(spark, tmp_path):
     # nothing new: the result stays the same
     r3 = {r.district: (r.n, r.s) for r in refresh_once(spark, str(src), SCHEMA, agg, out, ckpt).collect()}
     assert r3 == r2
+
+
+def test_ingest_facility_reports(spark):
+    from kpiframe.plans.ingest import facility_reports
+    from kpiframe.sources.literals import AGGREGATE_UNIT_NAMES
+
+    base = scratch_path(spark, "t_ingest")
+    raw = "`Organisation unit name` string, `Period Name` string, `Zinc` double, `ORS` double"
+    files = {
+        "Chisamba": [("ce Chisamba District", "July 2025", 9.0, 9.0), ("Fac A", "July 2025", 0.0, 2.0)],
+        "Ngabwe": [("Fac B", "August 2025", None, 1.0), ("ce Ngabwe District", "August 2025", 1.0, 1.0)],
+        "Kasama": [("Fac C", "September 2025", 3.0, None), (None, "July 2025", 1.0, 1.0)],
+    }
+    for district, rows in files.items():
+        S.write_csv(spark.createDataFrame(rows, raw).coalesce(1), f"{base}/{district}")
+    out = facility_reports(spark, f"{base}/*/*.csv", raw, exclude=AGGREGATE_UNIT_NAMES)
+    assert out.columns == ["district", "facility", "period", "periodname", "zinc", "ors"]
+    got = sorted(tuple(r) for r in out.collect())
+    assert got == [
+        ("Chisamba", "Fac A", dt.date(2025, 7, 1), "July 2025", 0.0, 2.0),
+        ("Kasama", "Fac C", dt.date(2025, 9, 1), "September 2025", 3.0, None),
+        ("Ngabwe", "Fac B", dt.date(2025, 8, 1), "August 2025", None, 1.0),
+    ]
+
+
+def test_refresh_every_polls(spark, tmp_path):
+    from kpiframe.streaming import refresh_every
+
+    src = tmp_path / "in"
+    src.mkdir()
+    _write(src, "a.parquet", [("K", "F1", 1.0), ("K", "F2", 2.0)])
+    out, ckpt = str(tmp_path / "out"), str(tmp_path / "ckpt")
+    q = refresh_every(spark, str(src), SCHEMA,
+                      lambda s: s.groupBy("district").agg(F.count(F.lit(1)).alias("n")),
+                      out, ckpt, interval="1 second")
+    try:
+        q.processAllAvailable()
+        _write(src, "b.parquet", [("K", "F3", 3.0)])
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert {r.district: r.n for r in spark.read.parquet(out).collect()} == {"K": 3}
