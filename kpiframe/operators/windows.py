@@ -28,13 +28,70 @@ def _need_order(order):
     return order
 
 
-def number_within(df: DataFrame, by, order, name: str = "survey") -> DataFrame:
-    """Number rows 1, 2, 3 ... within each group in ``order`` (``row_number()``)."""
+def number_within(df: DataFrame, by, order, name: str = "survey",
+                  chunks: int | None = None) -> DataFrame:
+    """Number rows 1, 2, 3 ... within each group in ``order`` (``row_number()``).
+
+    With ``chunks=k`` the numbering is computed without ever putting a whole
+    group in one task (for raw tables where one key may hold a large share of
+    the rows): see ``_number_within_chunked``. ``order`` must then be column
+    names, ascending, the first one numeric, date or timestamp.
+    """
     order = _need_order(order)
+    if chunks:
+        return _number_within_chunked(df, as_list(by), order, name, chunks)
     w = Window.partitionBy(*as_list(by)).orderBy(*order)
     return df.withColumn(name, F.row_number().over(w).cast("long"))
 
 
+def _order_number(df: DataFrame, c: str):
+    t = df.schema[c].dataType.simpleString()
+    if t == "date":
+        return F.unix_date(F.col(c)).cast("double")
+    if t.startswith("timestamp"):
+        return F.unix_micros(F.col(c).cast("timestamp")).cast("double")
+    return F.col(c).cast("double")
+
+
+def _number_within_chunked(df: DataFrame, by: list, order: list, name: str,
+                           chunks: int) -> DataFrame:
+    """Exact row numbers within groups, skew-safe.
+
+    1. ``k - 1`` global quantiles of the first order column (one scalar
+       subquery: a partial + final aggregation returning one array).
+    2. ``chunk`` = how many quantiles lie below the row's value — monotone in
+       the order, equal values share a chunk; a hot group spreads over up to
+       ``k`` chunks.
+    3. Row number inside (group, chunk): a window partitioned by both keys.
+    4. Rows per (group, chunk), and for each chunk the rows of the group's
+       earlier chunks (a window over that small table: at most ``k`` rows per
+       group), joined back on (group, chunk) — the windowed side is already
+       partitioned on those keys.
+    """
+    if any(not isinstance(o, str) for o in order):
+        raise ValueError("number_within(chunks=): order must be ascending column names")
+    v = _order_number(df, order[0])
+    probs = [i / chunks for i in range(1, chunks)]
+    bounds = df.agg(F.percentile_approx(v, probs, 10000).alias("b")).scalar()
+    chunk = sum((F.when(v > F.element_at(bounds, i), F.lit(1)).otherwise(F.lit(0))
+                 for i in range(1, chunks)), F.lit(0))
+    keyed = df.withColumn("_chunk", chunk)
+    local = keyed.withColumn("_rn", F.row_number().over(
+        Window.partitionBy(*by, "_chunk").orderBy(*order)))
+    counts = keyed.groupBy(*by, "_chunk").agg(F.count(F.lit(1)).alias("_cnt"))
+    before = Window.partitionBy(*by).orderBy("_chunk") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0))) \
+        .drop("_cnt")
+    lt, rt = local.alias("_l"), offsets.alias("_r")
+    cond = reduce(lambda a, b: a & b,
+                  [F.col(f"_l.{k}").eqNullSafe(F.col(f"_r.{k}")) for k in by + ["_chunk"]])
+    out = lt.join(rt, cond, "inner").select(
+        *[F.col(f"_l.{c}") for c in df.columns],
+        (F.col("_l._rn") + F.col("_r._off")).cast("long").alias(name))
+    return out
+
+
 def _extreme(df: DataFrame, by, order, last: bool) -> DataFrame:
     by, order = as_list(by), _need_order(order)
     rest = [c for c in df.columns if c not in by and c not in order]

@@ -174,3 +174,24 @@ def test_append_and_head(spark):
 def test_tag(spark):
     df = O.tag(spark.range(2), "district", "Kasama")
     assert {r.district for r in df.collect()} == {"Kasama"}
+
+
+def test_number_within_chunked_equals_window_with_hot_key(spark):
+    # one key holds ~1/2 of the rows; distinct order values per group
+    hot = spark.range(20000).select(F.lit("hot").alias("g"), (F.col("id") * 7 % 20011).alias("t"))
+    cold = spark.range(3000).select((F.col("id") % 50).cast("string").alias("g"),
+                                    (F.col("id") * 13).alias("t"))
+    nulls = spark.range(5).select(F.lit(None).cast("string").alias("g"), F.col("id").alias("t"))
+    df = hot.unionByName(cold).unionByName(nulls)
+    plain = O.number_within(df, "g", "t", "rn")
+    chunked = O.number_within(df, "g", "t", "rn", chunks=16)
+    assert chunked.columns == plain.columns
+    assert chunked.exceptAll(plain).count() == 0 and plain.exceptAll(chunked).count() == 0
+    # the hot group is spread over several window partitions
+    assert chunked.filter(F.col("g") == "hot").agg(F.max("rn")).first()[0] == 20000
+
+
+def test_number_within_chunked_dates(panel):
+    plain = O.number_within(O.not_null(panel, "rhcc16"), "adm0", "date", "survey")
+    chunked = O.number_within(O.not_null(panel, "rhcc16"), "adm0", "date", "survey", chunks=3)
+    assert sorted(map(tuple, chunked.collect())) == sorted(map(tuple, plain.collect()))
