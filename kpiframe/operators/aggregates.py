@@ -7,10 +7,10 @@ task before it is exchanged, whatever its share of the input.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kpiframe.functions.arithmetic import complement, percent_of, proportion_of, round_even
+from kpiframe.functions.arithmetic import complement, percent_of, proportion_of
 from kpiframe.functions.nulls import count_if, sum_na
 from kpiframe.functions.util import as_list, to_col
 
@@ -118,7 +118,3 @@ def histogram(df: DataFrame, c, bins: int, name: str = "count") -> DataFrame:
         (edge0 + F.col("bin") * width).alias("upper"))
     return (all_bins.join(counts, "bin", "left")
             .select("bin", "lower", "upper", F.coalesce(F.col(name), F.lit(0)).alias(name)))
-
-
-def rounded(c: Column | str, digits: int) -> Column:
-    return round_even(c, digits)
