@@ -49,13 +49,16 @@ def shared_dir(spark: SparkSession) -> str:
     The setting is read from the session. Only when it is unset (local tests)
     is a fresh local folder created and registered as the checkpoint dir.
     """
+    sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if not sc.getCheckpointDir():
+        # DataFrame.checkpoint() needs the context's folder: register the
+        # session setting, or (unset: local runs only) a fresh folder
+        if not path:
+            path = tempfile.mkdtemp(prefix="kpiframe-ckpt-")
+        sc.setCheckpointDir(path)
     if not path:
-        jdir = spark.sparkContext.getCheckpointDir()
-        path = jdir if jdir else None
-    if not path:
-        path = tempfile.mkdtemp(prefix="kpiframe-ckpt-")
-        spark.sparkContext.setCheckpointDir(path)
+        path = sc.getCheckpointDir()
     return path.rstrip("/")
 
 
