@@ -18,6 +18,14 @@ from kpiframe.plans import ingest as I
 from kpiframe.plans import kpis as K
 from kpiframe.plans import panels as P
 from kpiframe.plans import views as V
+from kpiframe.plans.params import (
+    DISTRICT_TARGETS,
+    HIST_BINS,
+    NATIONAL_LABEL,
+    NATIONAL_TARGET,
+    PRIORITY_LEVELS,
+    STOCK_ITEMS,
+)
 from kpiframe.plans.sql import (
     FACILITY_MONTH,
     FM_COUNTS_LONG,
@@ -55,16 +63,6 @@ TR = with_ctes(TRAINING)
 TB = with_ctes(TRAINING_BASE)
 KP = with_ctes(KPI_PANEL)
 
-# Parameters of the checked queries (targets by district-name pattern; first
-# match wins, so NATION_1 gets 70 although it also matches 'NATION_1').
-DISTRICT_TARGETS = [("NATION_1$", 70.0), ("NATION_1", 60.0), ("NATION_2", 40.0)]
-NATIONAL_TARGET = 1000.0
-NATIONAL_LABEL = "National"
-STOCK_ITEMS = {"a": "stock_a", "n": "stock_n", "r": "stock_r"}
-PRIORITY_LEVELS = ["5-LOW", "4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH", "1-URGENT"]
-HIST_BINS = 50
-
-
 def _targets_sql(col: str) -> str:
     branches = " ".join(f"WHEN COALESCE(regexp_matches({col}, {sql_string(p)}), false) THEN {v}::DOUBLE"
                         for p, v in DISTRICT_TARGETS)
