@@ -22,6 +22,30 @@ DEFAULT_CONF = {
 }
 
 
+_MB = 1024 * 1024
+
+
+def scale_conf(input_bytes: int, cores: int, target_partition_mb: int = 128) -> dict:
+    """Settings sized to the input: scan splits and shuffle partitions of about
+    ``target_partition_mb`` each, so every task's share fits in executor memory.
+
+    The initial shuffle width covers the whole input at the target size (a
+    pre-aggregated shuffle is smaller, and AQE coalesces it down at runtime);
+    it is at least 3 tasks per core. Skewed shuffle partitions above 4× the
+    target are split by AQE.
+    """
+    target = target_partition_mb * _MB
+    parts = max(3 * cores, -(-int(input_bytes) // target))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(2 * target),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    }
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "kpiframe", extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the engine defaults.

@@ -130,3 +130,13 @@ def test_refresh_every_polls(spark, tmp_path):
     finally:
         q.stop()
     assert {r.district: r.n for r in spark.read.parquet(out).collect()} == {"K": 3}
+
+
+def test_scale_conf_sizes_partitions():
+    from kpiframe.session import scale_conf
+
+    big = scale_conf(100 * 1024 ** 4, cores=8000)           # 100 TB on 8,000 cores
+    assert int(big["spark.sql.shuffle.partitions"]) == 100 * 1024 ** 4 // (128 * 1024 ** 2)
+    assert big["spark.sql.files.maxPartitionBytes"] == str(256 * 1024 ** 2)
+    small = scale_conf(10 * 1024 ** 2, cores=8)              # 10 MB locally
+    assert int(small["spark.sql.shuffle.partitions"]) == 24
