@@ -63,6 +63,7 @@ TR = with_ctes(TRAINING)
 TB = with_ctes(TRAINING_BASE)
 KP = with_ctes(KPI_PANEL)
 
+
 def _targets_sql(col: str) -> str:
     branches = " ".join(f"WHEN COALESCE(regexp_matches({col}, {sql_string(p)}), false) THEN {v}::DOUBLE"
                         for p, v in DISTRICT_TARGETS)
