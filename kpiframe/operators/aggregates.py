@@ -38,19 +38,19 @@ def count_if_by(df: DataFrame, by, conds: dict) -> DataFrame:
 
 def with_total(df: DataFrame, by, aggs: dict, label: str = "Total",
                label_col: str | None = None) -> DataFrame:
-    """Group rows plus one grand-total row, in a single pass (``ROLLUP``).
+    """Group rows plus one grand-total row, in a single pass.
 
-    The total row carries ``label`` in ``label_col`` (default: the first key)
-    and NULL in the other keys. ``grouping_id`` separates it from a real group
-    whose key happens to be NULL.
+    ``GROUPING SETS ((by...), ())``: each input row is expanded twice (once per
+    level, whatever the number of keys) and both levels are aggregated
+    together, partial + final. The total row carries ``label`` in
+    ``label_col`` (default: the first key) and NULL in the other keys;
+    ``grouping_id`` separates it from a real group whose key is NULL.
     """
     by = as_list(by)
     label_col = label_col or by[0]
-    full = (1 << len(by)) - 1
-    g = df.rollup(*by).agg(*[c.alias(n) for n, c in aggs.items()],
-                           F.grouping_id().alias("_gid"))
-    g = g.filter((F.col("_gid") == 0) | (F.col("_gid") == full))
-    g = g.withColumn(label_col, F.when(F.col("_gid") == full, F.lit(label))
+    g = df.groupingSets([by, []], *by).agg(*[c.alias(n) for n, c in aggs.items()],
+                                           F.grouping_id().alias("_gid"))
+    g = g.withColumn(label_col, F.when(F.col("_gid") != F.lit(0), F.lit(label))
                      .otherwise(F.col(label_col)))
     return g.drop("_gid")
 

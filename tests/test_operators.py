@@ -195,3 +195,11 @@ def test_number_within_chunked_dates(panel):
     plain = O.number_within(O.not_null(panel, "rhcc16"), "adm0", "date", "survey")
     chunked = O.number_within(O.not_null(panel, "rhcc16"), "adm0", "date", "survey", chunks=3)
     assert sorted(map(tuple, chunked.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_with_total_many_keys_and_null_group(spark):
+    df = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 2.0), (None, "x", 4.0)],
+                               "k1 string, k2 string, v double")
+    out = rows(O.with_total(df, ["k1", "k2"], {"s": F.sum("v")}, label="All"), "k1", "k2")
+    # the NULL group stays a group; only the grand total gets the label
+    assert out == [(None, "x", 4.0), ("All", None, 7.0), ("a", "x", 1.0), ("a", "y", 2.0)]
