@@ -92,11 +92,21 @@ def _number_within_chunked(df: DataFrame, by: list, order: list, name: str,
     return out
 
 
+def _orderable(dt) -> bool:
+    return "map<" not in dt.simpleString()
+
+
 def _extreme(df: DataFrame, by, order, last: bool) -> DataFrame:
     by, order = as_list(by), _need_order(order)
     rest = [c for c in df.columns if c not in by and c not in order]
     s = F.struct(*[F.col(c) for c in order + rest])
-    pick = F.max(s) if last else F.min(s)
+    if all(_orderable(df.schema[c].dataType) for c in order + rest):
+        # ties on the order key are broken by the other columns: deterministic
+        pick = F.max(s) if last else F.min(s)
+    else:
+        # maps cannot be compared: pick by the order key alone
+        key = F.struct(*[F.col(c) for c in order])
+        pick = F.max_by(s, key) if last else F.min_by(s, key)
     g = df.groupBy(*by).agg(pick.alias("_pick"))
     return g.select(*[F.col(c) for c in by],
                     *[F.col(f"_pick.{c}").alias(c) for c in order + rest]).select(*df.columns)

@@ -203,3 +203,10 @@ def test_with_total_many_keys_and_null_group(spark):
     out = rows(O.with_total(df, ["k1", "k2"], {"s": F.sum("v")}, label="All"), "k1", "k2")
     # the NULL group stays a group; only the grand total gets the label
     assert out == [(None, "x", 4.0), ("All", None, 7.0), ("a", "x", 1.0), ("a", "y", 2.0)]
+
+
+def test_last_per_group_with_map_column(spark):
+    df = spark.createDataFrame([("a", 1, {"k": 1}), ("a", 2, {"k": 2}), ("b", 5, {"k": 5})],
+                               "g string, t int, m map<string,int>")
+    out = {r.g: (r.t, r.m) for r in O.last_per_group(df, "g", "t").collect()}
+    assert out == {"a": (2, {"k": 2}), "b": (5, {"k": 5})}
