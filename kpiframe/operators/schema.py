@@ -8,6 +8,7 @@ down to the Parquet scan.
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +19,14 @@ from kpiframe.functions.util import as_list
 NAME_SYMBOL_WORDS = {"%": "percent", "#": "number"}
 
 
+def _ascii(name: str) -> str:
+    """Accented letters to their base letter ("Número" → "Numero")."""
+    decomposed = unicodedata.normalize("NFKD", name)
+    return "".join(ch for ch in decomposed if not unicodedata.combining(ch))
+
+
 def _snake(name: str) -> str:
-    s = name
+    s = _ascii(name)
     for sym, word in NAME_SYMBOL_WORDS.items():
         s = s.replace(sym, f"_{word}_")
     s = s.replace("'", "").replace('"', "")

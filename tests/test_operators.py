@@ -22,6 +22,8 @@ def test_clean_names(spark):
     assert O.clean_names(df).columns == [
         "rhcc_target_clinical", "rhcc1_1", "actual_number_of_male_ch_ws_trained",
         "percent_done", "x", "x_2", "x2nd"]
+    accented = spark.createDataFrame([(1, 2)], ["Número de CHWs", "Província"])
+    assert O.clean_names(accented).columns == ["numero_de_ch_ws", "provincia"]
 
 
 def test_column_selectors(report):
