@@ -25,7 +25,7 @@ def sum_na(c) -> Column:
 
 def count_if(cond: Column) -> Column:
     """Aggregate: number of rows where ``cond`` is TRUE (missing counts as FALSE)."""
-    return F.sum(F.when(cond, F.lit(1)).otherwise(F.lit(0))).cast("long")
+    return F.count_if(cond)
 
 
 def if_else(cond: Column, yes, no) -> Column:
