@@ -776,10 +776,7 @@ SELECT adm0, date, n_large AS achieved, n_users AS target,
 FROM kp WHERE n_large IS NOT NULL""")
 def q_kpi_achieved_vs_target(spark, d):
     """Achieved (events above 180) against target (active users), whole percent."""
-    kp = O.not_null(V.kpi_panel(spark, d), "n_large")
-    return kp.select("adm0", "date", F.col("n_large").alias("achieved"),
-                     F.col("n_users").alias("target"),
-                     X.percent_of("n_large", "n_users", 0).alias("pct_achieved"))
+    return P.kpi_achieved_vs_target(V.kpi_panel(spark, d), "n_large", "n_users")
 
 
 @query("kpi_trained_vs_target", KP + """,
@@ -792,18 +789,10 @@ SELECT *, SUM(trained) OVER (PARTITION BY adm0, date ORDER BY chw_order DESC
                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - trained / 2.0 AS label_pos
 FROM o""")
 def q_kpi_trained_vs_target(spark, d):
-    """Trained by cadre (stacked, non-clinical on top) against the combined
-    target (missing non-clinical target counts as 0)."""
-    kp = O.not_null(V.kpi_panel(spark, d), "n_users")
-    wide = kp.select("adm0", "date", F.col("n_users").alias("trained_clinical"),
-                     F.col("n_large").alias("trained_nonclinical"),
-                     X.row_sum("n_events", X.null_to_zero("n_large")).alias("target_all"))
-    long = O.to_long(wide, ["adm0", "date", "target_all"],
-                     ["trained_clinical", "trained_nonclinical"], "chw", "trained",
-                     names_prefix="trained_")
-    long = long.withColumn("chw_order", X.category_order("chw", ["nonclinical", "clinical"]))
-    return O.stack_offsets(long, ["adm0", "date"], F.col("chw_order").desc(), "trained",
-                           "label_pos")
+    """Trained by cadre (clinical = active users, non-clinical = events above
+    180) stacked against the combined target (events + non-clinical)."""
+    return P.kpi_trained_vs_target(V.kpi_panel(spark, d), "n_users", "n_large",
+                                   "n_events", "n_large")
 
 
 # ====================================================================== named KPIs

@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kpiframe.functions.arithmetic import round_even
-from kpiframe.functions.text import percent_label
+from kpiframe.functions.arithmetic import percent_of, round_even, row_sum
+from kpiframe.functions.nulls import null_to_zero
+from kpiframe.functions.text import category_order, percent_label
 from kpiframe.functions.util import as_list, to_col
 from kpiframe.operators.predicates import range_censor
 from kpiframe.operators.reshape import part_remainder, to_long
@@ -80,3 +81,35 @@ def kpi_density(df: DataFrame, n: str, d: str, by: str = "adm0", date: str = "da
     rate = F.try_divide(to_col(n).cast("double"), to_col(d).cast("double")) * F.lit(float(per))
     present = df.select(by, date, rate.alias(name)).filter(F.col(name).isNotNull())
     return range_censor(present, name, lo, hi)
+
+
+def kpi_achieved_vs_target(df: DataFrame, achieved: str, target: str, by: str = "adm0",
+                           date: str = "date", digits: int = 0) -> DataFrame:
+    """Achieved against target where the achievement is reported, with the
+    whole-number percentage of target reached."""
+    present = df.filter(F.col(achieved).isNotNull())
+    return present.select(by, date, F.col(achieved).alias("achieved"),
+                          F.col(target).alias("target"),
+                          percent_of(achieved, target, digits).alias("pct_achieved"))
+
+
+def kpi_trained_vs_target(df: DataFrame, clinical: str, nonclinical: str,
+                          target_clinical: str, target_nonclinical: str,
+                          by: str = "adm0", date: str = "date",
+                          levels=("nonclinical", "clinical")) -> DataFrame:
+    """Trained CHWs by cadre as stacked parts against the combined target.
+
+    Rows where the clinical count is reported; one row per cadre (name with
+    the common prefix removed); a missing non-clinical target counts as 0 in
+    the combined target; ``chw_order`` follows ``levels`` (first level on
+    top) and ``label_pos`` is the middle of each stacked part.
+    """
+    present = df.filter(F.col(clinical).isNotNull())
+    target_all = row_sum(target_clinical, null_to_zero(target_nonclinical))
+    wide = present.select(by, date, F.col(clinical).alias("trained_clinical"),
+                          F.col(nonclinical).alias("trained_nonclinical"),
+                          target_all.alias("target_all"))
+    long = to_long(wide, [by, date, "target_all"], ["trained_clinical", "trained_nonclinical"],
+                   "chw", "trained", names_prefix="trained_")
+    long = long.withColumn("chw_order", category_order("chw", list(levels)))
+    return stack_offsets(long, [by, date], F.col("chw_order").desc(), "trained", "label_pos")

@@ -128,3 +128,22 @@ def test_referral_keeps_nulls_matching(spark):
     # NULL keys match NULL keys: 2 × 2 join rows
     assert len(out) == 1 and out[0].referral_count == 10.0 and out[0].managed_count == 20.0
     assert out[0].prop_referred == 0.5
+
+
+def test_trained_vs_target_toy_panel(panel):
+    out = P.kpi_trained_vs_target(panel, "rhcc3_clinical", "rhcc3_nonclinical",
+                                  "target_clinical", "target_nonclinical").collect()
+    target = {r.adm0: r.target_all for r in out}
+    # non-clinical target missing for DRC and ZMB counts as 0
+    assert target == {"DRC": 2000.0, "MOZ": 4580.0, "NGA": 2750.0, "ZMB": 2086.0}
+    moz = {r.chw: (r.trained, r.chw_order, r.label_pos) for r in out if r.adm0 == "MOZ"}
+    # clinical (level 2) at the bottom, non-clinical (level 1) stacked on top
+    assert moz == {"clinical": (250.0, 2, 125.0), "nonclinical": (3700.0, 1, 250 + 1850.0)}
+    assert len(out) == 8
+
+
+def test_achieved_vs_target_toy_panel(panel):
+    out = {r.adm0: (r.achieved, r.target, r.pct_achieved) for r in
+           P.kpi_achieved_vs_target(panel, "rhcc5_n", "target_clinical").collect()}
+    assert out["DRC"] == (800.0, 2000.0, 40.0)
+    assert out["MOZ"] == (200.0, 280.0, 71.0)   # 71.43 → 71
