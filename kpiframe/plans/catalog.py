@@ -37,7 +37,7 @@ from kpiframe.plans.sql import (
     sql_string,
     with_ctes,
 )
-from kpiframe.session import scratch_path, shared_dir
+from kpiframe.session import scratch_path
 from kpiframe.sources import files as S
 from kpiframe.sources import generators as G
 from kpiframe.sources.literals import KPI_DICTIONARY_ROWS, kpi_dictionary
@@ -171,22 +171,12 @@ SELECT grid.district, grid.period, agg.expected_reports
 FROM grid LEFT JOIN agg ON grid.district = agg.district AND grid.period = agg.period""")
 def q_panel_grid(spark, d):
     """Every district × every month between the first and last reported month;
-    months without reports stay in the panel with a missing value.
-
-    The (district, month) aggregate is small (districts × months) and is used
-    three times (entities, month range, values), so it is checkpointed once to
-    the shared checkpoint folder: the fact table is scanned once and the
-    lineage is cut.
-    """
+    months without reports stay in the panel with a missing value. The small
+    (district, month) aggregate is checkpointed once, so the fact table is
+    scanned once."""
     fm = V.facility_month(spark, d)
-    shared_dir(spark)  # make sure a checkpoint folder is set (read from the session)
-    agg = fm.groupBy("district", "period") \
-        .agg(F.sum("expected_reports").alias("expected_reports")).checkpoint(eager=True)
-    months = agg.agg(F.sequence(F.min("period"), F.max("period"),
-                                F.expr("INTERVAL 1 MONTH")).alias("m")).scalar()
-    grid = agg.select("district").distinct().select("district", F.explode(months).alias("period"))
-    return grid.join(agg, ["district", "period"], "left") \
-        .select("district", "period", "expected_reports")
+    agg = fm.groupBy("district", "period").agg(F.sum("expected_reports").alias("expected_reports"))
+    return P.complete_panel(agg, "district", "period", ["expected_reports"])
 
 
 @query("demo_sample")
@@ -226,7 +216,7 @@ def q_kpi_dictionary(spark, d):
                     X.proportion_of("actual", "expected", 2).alias("RHCC15"),
                     X.complement(X.percent_of("k", "n", 2)).alias("RHCC11"))
     res = O.to_long(wide, ["district", "period"], ["RHCC15", "RHCC11"], "kpi", "value")
-    return res.join(F.broadcast(kpi_dictionary(spark)), "kpi", "left") \
+    return P.annotate_kpis(res, kpi_dictionary(spark)) \
         .select("district", "period", "kpi", "value", "description", "disaggregation")
 
 

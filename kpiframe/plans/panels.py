@@ -113,3 +113,32 @@ def kpi_trained_vs_target(df: DataFrame, clinical: str, nonclinical: str,
                    "chw", "trained", names_prefix="trained_")
     long = long.withColumn("chw_order", category_order("chw", list(levels)))
     return stack_offsets(long, [by, date], F.col("chw_order").desc(), "trained", "label_pos")
+
+
+def complete_panel(df: DataFrame, entity: str, period: str, values,
+                   months: int = 1, checkpoint: bool = True) -> DataFrame:
+    """Every entity × every period between the first and the last period of
+    ``df``; periods an entity did not report stay as rows with missing values.
+
+    ``df`` is an aggregate with one row per (entity, period). It is read three
+    times (entities, period range, values), so by default it is checkpointed
+    once to the session's checkpoint folder. The grid is a per-entity
+    ``explode(sequence)``: no join builds the product.
+    """
+    from kpiframe.session import shared_dir
+
+    values = as_list(values)
+    base = df.select(entity, period, *values)
+    if checkpoint:
+        shared_dir(df.sparkSession)  # the session's folder (set only when unset)
+        base = base.checkpoint(eager=True)
+    span = base.agg(F.sequence(F.min(period), F.max(period),
+                               F.expr(f"INTERVAL {int(months)} MONTH")).alias("m")).scalar()
+    grid = base.select(entity).distinct().select(entity, F.explode(span).alias(period))
+    return grid.join(base, [entity, period], "left").select(entity, period, *values)
+
+
+def annotate_kpis(results: DataFrame, dictionary: DataFrame, key: str = "kpi") -> DataFrame:
+    """KPI results in long form with the dictionary's description and
+    disaggregation (the dictionary is a small fixed table: broadcast)."""
+    return results.join(F.broadcast(dictionary), key, "left")

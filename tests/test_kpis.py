@@ -147,3 +147,15 @@ def test_achieved_vs_target_toy_panel(panel):
            P.kpi_achieved_vs_target(panel, "rhcc5_n", "target_clinical").collect()}
     assert out["DRC"] == (800.0, 2000.0, 40.0)
     assert out["MOZ"] == (200.0, 280.0, 71.0)   # 71.43 → 71
+
+
+def test_complete_panel_keeps_gaps(spark):
+    import datetime as dt
+
+    agg = spark.createDataFrame([("D1", dt.date(2025, 6, 1), 3.0), ("D1", dt.date(2025, 8, 1), 5.0),
+                                 ("D2", dt.date(2025, 7, 1), 1.0)],
+                                "district string, period date, n double")
+    out = sorted(tuple(r) for r in P.complete_panel(agg, "district", "period", "n").collect())
+    assert out == [("D1", dt.date(2025, 6, 1), 3.0), ("D1", dt.date(2025, 7, 1), None),
+                   ("D1", dt.date(2025, 8, 1), 5.0), ("D2", dt.date(2025, 6, 1), None),
+                   ("D2", dt.date(2025, 7, 1), 1.0), ("D2", dt.date(2025, 8, 1), None)]
