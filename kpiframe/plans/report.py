@@ -55,6 +55,7 @@ KPIS: dict[str, Callable[[Views], DataFrame]] = {
     "density": lambda v: P.kpi_density(v["kpi_panel"], "n_large", "n_events", hi=1000.0),
 }
 
+
 def _write_all(jobs: dict[str, tuple[DataFrame, str]], parallel: int) -> None:
     """Write independent results as concurrent Spark jobs (the scheduler
     shares the executors between them); the first failure is raised."""
