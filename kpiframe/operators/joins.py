@@ -20,15 +20,21 @@ from kpiframe.functions.util import as_list
 
 
 def left_join_nullsafe(left: DataFrame, right: DataFrame, keys, how: str = "left") -> DataFrame:
-    """Join on ``keys`` with NULL-matches-NULL; one copy of the keys (the left one)
-    is kept, followed by the other columns of both sides."""
+    """Join on ``keys`` with NULL-matches-NULL; one copy of the keys is kept (the
+    left one; the right one for a right join; either for a full join),
+    followed by the other columns of both sides."""
     keys = as_list(keys)
     lt, rt = left.alias("_l"), right.alias("_r")
     cond = reduce(lambda a, b: a & b,
                   [F.col(f"_l.{k}").eqNullSafe(F.col(f"_r.{k}")) for k in keys])
     joined = lt.join(rt, cond, how)
-    key_cols = [F.col(f"_r.{k}").alias(k) if how == "right" else F.col(f"_l.{k}").alias(k)
-                for k in keys]
+    full = how.lower().replace("_", "") in ("full", "outer", "fullouter")
+    if full:
+        # matched rows carry equal keys (NULL included); unmatched ones only one side's
+        key_cols = [F.coalesce(F.col(f"_l.{k}"), F.col(f"_r.{k}")).alias(k) for k in keys]
+    else:
+        key_cols = [F.col(f"_r.{k}").alias(k) if how == "right" else F.col(f"_l.{k}").alias(k)
+                    for k in keys]
     lrest = [F.col(f"_l.{c}").alias(c) for c in left.columns if c not in keys]
     rrest = [F.col(f"_r.{c}").alias(c) for c in right.columns if c not in keys]
     return joined.select(*key_cols, *lrest, *rrest)

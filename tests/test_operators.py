@@ -212,3 +212,10 @@ def test_last_per_group_with_map_column(spark):
                                "g string, t int, m map<string,int>")
     out = {r.g: (r.t, r.m) for r in O.last_per_group(df, "g", "t").collect()}
     assert out == {"a": (2, {"k": 2}), "b": (5, {"k": 5})}
+
+
+def test_full_join_nullsafe_keeps_keys_of_both_sides(spark):
+    left = spark.createDataFrame([("a", 1.0), (None, 2.0)], "k string, v double")
+    right = spark.createDataFrame([(None, 20.0), ("z", 30.0)], "k string, w double")
+    out = sorted(map(tuple, O.left_join_nullsafe(left, right, "k", how="full").collect()), key=str)
+    assert out == sorted([("a", 1.0, None), (None, 2.0, 20.0), ("z", None, 30.0)], key=str)
