@@ -28,13 +28,13 @@ def left_join_nullsafe(left: DataFrame, right: DataFrame, keys, how: str = "left
     cond = reduce(lambda a, b: a & b,
                   [F.col(f"_l.{k}").eqNullSafe(F.col(f"_r.{k}")) for k in keys])
     joined = lt.join(rt, cond, how)
-    full = how.lower().replace("_", "") in ("full", "outer", "fullouter")
-    if full:
+    kind = how.lower().replace("_", "")
+    if kind in ("full", "outer", "fullouter"):
         # matched rows carry equal keys (NULL included); unmatched ones only one side's
         key_cols = [F.coalesce(F.col(f"_l.{k}"), F.col(f"_r.{k}")).alias(k) for k in keys]
     else:
-        key_cols = [F.col(f"_r.{k}").alias(k) if how == "right" else F.col(f"_l.{k}").alias(k)
-                    for k in keys]
+        side = "_r" if kind in ("right", "rightouter") else "_l"
+        key_cols = [F.col(f"{side}.{k}").alias(k) for k in keys]
     lrest = [F.col(f"_l.{c}").alias(c) for c in left.columns if c not in keys]
     rrest = [F.col(f"_r.{c}").alias(c) for c in right.columns if c not in keys]
     return joined.select(*key_cols, *lrest, *rrest)

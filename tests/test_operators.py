@@ -219,3 +219,11 @@ def test_full_join_nullsafe_keeps_keys_of_both_sides(spark):
     right = spark.createDataFrame([(None, 20.0), ("z", 30.0)], "k string, w double")
     out = sorted(map(tuple, O.left_join_nullsafe(left, right, "k", how="full").collect()), key=str)
     assert out == sorted([("a", 1.0, None), (None, 2.0, 20.0), ("z", None, 30.0)], key=str)
+
+
+def test_right_join_nullsafe_spellings(spark):
+    left = spark.createDataFrame([("a", 1.0)], "k string, v double")
+    right = spark.createDataFrame([("a", 10.0), ("b", 20.0)], "k string, w double")
+    for how in ("right", "right_outer", "rightouter"):
+        out = sorted(map(tuple, O.left_join_nullsafe(left, right, "k", how=how).collect()))
+        assert out == [("a", 1.0, 10.0), ("b", None, 20.0)]
