@@ -140,3 +140,26 @@ def test_scale_conf_sizes_partitions():
     assert big["spark.sql.files.maxPartitionBytes"] == str(256 * 1024 ** 2)
     small = scale_conf(10 * 1024 ** 2, cores=8)              # 10 MB locally
     assert int(small["spark.sql.shuffle.partitions"]) == 24
+
+
+def test_refresh_once_in_several_batches(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    for i in range(4):
+        _write(src, f"p{i}.parquet", [("K", f"F{i}", float(i)), ("C", f"G{i}", 1.0)])
+    out, ckpt = str(tmp_path / "out"), str(tmp_path / "ckpt")
+
+    def agg(stream):
+        return stream.groupBy("district").agg(F.count(F.lit(1)).alias("n"), F.sum("amoxyl").alias("s"))
+
+    # one file per micro-batch: the running aggregate must still cover all four
+    got = {r.district: (r.n, r.s) for r in
+           refresh_once(spark, str(src), SCHEMA, agg, out, ckpt, max_files=1).collect()}
+    assert got == {"K": (4, 6.0), "C": (4, 4.0)}
+
+
+def test_read_table_parquet(spark):
+    path = scratch_path(spark, "t_parquet")
+    spark.createDataFrame([("a", 1.0)], SCHEMA.replace("facility string, ", "")).write.parquet(path)
+    back = S.read_table(spark, path, fmt="parquet")
+    assert [tuple(r) for r in back.collect()] == [("a", 1.0)]
