@@ -93,20 +93,26 @@ def histogram(df: DataFrame, c, bins: int, name: str = "count") -> DataFrame:
     """Equal-width histogram with ``bins`` bins, empty bins included.
 
     Bin rule of the reference plots: width = (max - min) / (bins - 1), first
-    edge = min - width / 2, bins closed on the right. A constant column gets a
-    width of 0.1. Min and max come from one scalar subquery (one extra scan,
-    a one-row result), so nothing is collected and no cross join is needed;
+    edge = min - width / 2, bins closed on the right; a single bin spans
+    [min, max]. A constant column gets a width of 0.1. Min and max come from
+    one scalar subquery (one extra scan, a one-row result), so nothing is
+    collected and no cross join is needed;
     the bin number is then a plain projection and the count a partial +
     final aggregation over at most ``bins`` keys.
     """
-    if bins < 2:
-        raise ValueError("histogram: bins must be >= 2")
+    if bins < 1:
+        raise ValueError("histogram: bins must be >= 1")
     x = to_col(c).cast("double")
     vals = df.select(x.alias("_x")).filter(F.col("_x").isNotNull())
     rng = vals.agg(F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi")).alias("r")).scalar()
     lo, hi = rng["lo"], rng["hi"]
-    width = F.when(hi == lo, F.lit(0.1)).otherwise((hi - lo) / F.lit(float(bins - 1)))
-    edge0 = lo - width / F.lit(2.0)
+    if bins == 1:
+        # one bin spanning [min, max]
+        width = F.when(hi == lo, F.lit(0.1)).otherwise(hi - lo)
+        edge0 = F.when(hi == lo, lo - F.lit(0.05)).otherwise(lo)
+    else:
+        width = F.when(hi == lo, F.lit(0.1)).otherwise((hi - lo) / F.lit(float(bins - 1)))
+        edge0 = lo - width / F.lit(2.0)
     bin_no = F.greatest(F.lit(1), F.least(F.lit(bins),
                                           F.ceil((F.col("_x") - edge0) / width).cast("long")))
     counts = vals.select(bin_no.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias(name))

@@ -227,3 +227,9 @@ def test_right_join_nullsafe_spellings(spark):
     for how in ("right", "right_outer", "rightouter"):
         out = sorted(map(tuple, O.left_join_nullsafe(left, right, "k", how=how).collect()))
         assert out == [("a", 1.0, 10.0), ("b", None, 20.0)]
+
+
+def test_histogram_single_bin(spark):
+    df = spark.createDataFrame([(2.0,), (5.0,), (9.0,)], "z double")
+    h = O.histogram(df, "z", 1).collect()
+    assert [(r.bin, r.lower, r.upper, r["count"]) for r in h] == [(1, 2.0, 9.0, 3)]
