@@ -163,3 +163,11 @@ def test_read_table_parquet(spark):
     spark.createDataFrame([("a", 1.0)], SCHEMA.replace("facility string, ", "")).write.parquet(path)
     back = S.read_table(spark, path, fmt="parquet")
     assert [tuple(r) for r in back.collect()] == [("a", 1.0)]
+
+
+def test_scale_conf_keys_are_spark_settings(spark):
+    from kpiframe.session import scale_conf
+
+    conf = scale_conf(10 * 1024 ** 4, cores=800)
+    defined = {r[0] for r in spark.sql("SET -v").collect()}   # every defined SQL setting
+    assert set(conf) <= defined, set(conf) - defined
