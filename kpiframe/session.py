@@ -46,21 +46,33 @@ def scale_conf(input_bytes: int, cores: int, target_partition_mb: int = 128) ->
     }
 
 
+def session_conf(shuffle_partitions: int | None = None, extra: dict | None = None,
+                 input_bytes: int | None = None, cores: int | None = None) -> dict:
+    """The settings ``get_session`` applies: the engine defaults, then the
+    input-sized ones (``input_bytes``), then an explicit shuffle width, then
+    ``extra`` (later entries win)."""
+    conf = dict(DEFAULT_CONF)
+    if input_bytes:
+        conf.update(scale_conf(input_bytes, cores or os.cpu_count() or 1))
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    conf.update(extra or {})
+    return conf
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "kpiframe", extra: dict | None = None) -> SparkSession:
+                app_name: str = "kpiframe", extra: dict | None = None,
+                input_bytes: int | None = None, cores: int | None = None) -> SparkSession:
     """Build (or reuse) a session with the engine defaults.
 
-    On a cluster pass ``master=None`` and let the launcher decide; tests and
-    the bench pass ``local[N]``.
+    On a cluster pass ``master=None`` and let the launcher decide, and give
+    ``input_bytes`` (and the total ``cores``) to size splits and shuffles to
+    the data; tests and the bench pass ``local[N]``.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    conf = dict(DEFAULT_CONF)
-    if shuffle_partitions:
-        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.update(extra or {})
-    for k, v in conf.items():
+    for k, v in session_conf(shuffle_partitions, extra, input_bytes, cores).items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -171,3 +171,15 @@ def test_scale_conf_keys_are_spark_settings(spark):
     conf = scale_conf(10 * 1024 ** 4, cores=800)
     defined = {r[0] for r in spark.sql("SET -v").collect()}   # every defined SQL setting
     assert set(conf) <= defined, set(conf) - defined
+
+
+def test_session_conf_layers():
+    from kpiframe.session import DEFAULT_CONF, session_conf
+
+    assert session_conf() == DEFAULT_CONF
+    c = session_conf(shuffle_partitions=16, input_bytes=1024 ** 4, cores=100,
+                     extra={"spark.sql.adaptive.skewJoin.skewedPartitionFactor": "8"})
+    assert c["spark.sql.shuffle.partitions"] == "16"                 # explicit width wins
+    assert c["spark.sql.adaptive.advisoryPartitionSizeInBytes"] == str(128 * 1024 ** 2)
+    assert c["spark.sql.adaptive.skewJoin.skewedPartitionFactor"] == "8"  # extra wins
+    assert c["spark.sql.adaptive.enabled"] == "true"
