@@ -64,7 +64,9 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS,
     repeated = (firsts.groupBy("h1", "h2")
                 .agg(F.count(F.lit(1)).alias("n_docs"), F.min("rd").alias("first_rd"))
                 .filter(F.col("n_docs") >= min_docs).drop("n_docs"))
-    drops = (lines.join(repeated, ["h1", "h2"])
+    # as a written table its side of the join is shuffled anew, so that Spark can split the
+    # rows of a hot key over tasks
+    drops = (lines.join(stored(repeated, "repeated-lines"), ["h1", "h2"])
              .filter(~F.col("rd").eqNullSafe(F.col("first_rd"))))
     words = (drops.groupBy("rd", "th", F.shiftright("pos", 6).alias("word"))
              .agg(F.bit_or(F.expr("shiftleft(1L, pos & 63)")).alias("gone")))

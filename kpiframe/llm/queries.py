@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kpiframe.llm.common import table
+from kpiframe.llm.decontaminate import contaminated
 from kpiframe.llm.line_dedup import line_report
 from kpiframe.llm.mixing import mix_report
 from kpiframe.llm.simhash import near_duplicates
+from kpiframe.llm.toxicity import score_toxicity
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,10 +28,16 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 REGISTRY = {
+    "op1_toxicity": op1_toxicity,
     "op3_line_dedup": op3_line_dedup,
     "op5_simhash": op5_simhash,
     "op7_mix_sources": op7_mix_sources,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLE = {
