@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kpiframe.llm.cdc_dedup import substring_report
 from kpiframe.llm.common import table
 from kpiframe.llm.decontaminate import contaminated
+from kpiframe.llm.html_extract import extract_text
+from kpiframe.llm.licenses import scan_licenses
 from kpiframe.llm.line_dedup import line_report
 from kpiframe.llm.mixing import mix_report
+from kpiframe.llm.quality import quality_rules
 from kpiframe.llm.simhash import near_duplicates
 from kpiframe.llm.toxicity import score_toxicity
 
@@ -20,14 +24,30 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_report(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -35,8 +55,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY = {
     "op1_toxicity": op1_toxicity,
     "op3_line_dedup": op3_line_dedup,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_simhash": op5_simhash,
+    "op6_license_scan": op6_license_scan,
     "op7_mix_sources": op7_mix_sources,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_html_extract": op9_html_extract,
     "op10_decontaminate": op10_decontaminate,
 }
 
