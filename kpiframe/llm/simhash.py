@@ -146,31 +146,34 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) ->
     counted = stored(fps.select("fp", F.bit_count("fp").alias("pc"), *halves), "simhash")
     n_tiles = max(1, -(-counted.count() // tile))
     order = ["pc", "q0", "q1", "q2", "q3", "fp"]
+    # one row per tile: joins below carry tiles, not fingerprints, and make one row per pair
     tiles = stored(counted.repartitionByRange(n_tiles, *order)
-                   .withColumn("tile", F.spark_partition_id()).select("tile", "fp", "pc", *[
-                       f"q{i}" for i in range(4)]), "simhash-tiles")
-
-    box = tiles.groupBy("tile").agg(*[f(c).alias(f"{n}_{c}") for c in ("pc", "q0", "q1", "q2", "q3")
-                                      for n, f in (("lo", F.min), ("hi", F.max))])
-    left = box.select(*[F.col(c).alias(f"a_{c}") for c in box.columns], F.explode(F.sequence(
-        "lo_pc", F.least(F.col("hi_pc") + radius, F.lit(64)))).alias("at"))
-    right = box.select(*[F.col(c).alias(f"b_{c}") for c in box.columns], F.explode(F.sequence(
-        "lo_pc", F.least(F.col("hi_pc") + radius, F.lit(64)))).alias("at"))
+                   .withColumn("tile", F.spark_partition_id()).groupBy("tile")
+                   .agg(F.collect_list("fp").alias("fps"),
+                        *[f(c).alias(f"{n}_{c}") for c in order[:-1]
+                          for n, f in (("lo", F.min), ("hi", F.max))]), "simhash-tiles")
+
+    def boxes(mark: str, reach: int) -> DataFrame:
+        """Each tile's population counts by name, once per count that it reaches."""
+        counts = F.sequence(F.col("lo_pc") - reach, F.col("hi_pc") + reach)
+        return tiles.select(*[F.col(c).alias(f"{mark}_{c}") for c in tiles.columns if c != "fps"],
+                            F.explode(counts).alias("at"))
+
     gap = sum(F.greatest(F.lit(0), F.col(f"a_lo_q{i}") - F.col(f"b_hi_q{i}"),
                          F.col(f"b_lo_q{i}") - F.col(f"a_hi_q{i}")) for i in range(4))
-    pairs = (left.join(right, "at").filter((F.col("a_tile") <= F.col("b_tile")) & (gap <= radius))
+    pairs = (boxes("a", 0).join(boxes("b", radius), "at")
+             .filter((F.col("a_tile") <= F.col("b_tile")) & (gap <= radius))
              .select("a_tile", "b_tile").distinct())
-    # a tile is sent to each pair that it is part of, and never more than two meet in a task
     a = tiles.join(pairs, F.col("tile") == F.col("a_tile")) \
-        .select("a_tile", "b_tile", F.lit(True).alias("is_a"), "fp")
+        .select("a_tile", "b_tile", F.lit(True).alias("is_a"), "fps")
     b = tiles.join(pairs.filter("a_tile < b_tile"), F.col("tile") == F.col("b_tile")) \
-        .select("a_tile", "b_tile", F.lit(False).alias("is_a"), "fp")
+        .select("a_tile", "b_tile", F.lit(False).alias("is_a"), "fps")
 
     def run(group: pa.Table) -> pa.Table:
-        values = group.column("fp").to_numpy().view(np.uint64)
-        mine = group.column("is_a").to_numpy()
-        inside = mine.all()
-        links = linked(values[mine], None if inside else values[~mine], radius).view(np.int64)
+        # one tile, or two: never more than 2 * tile fingerprints
+        values = {is_a: np.array(fps, np.int64).view(np.uint64) for is_a, fps in
+                  zip(group.column("is_a").to_pylist(), group.column("fps").to_pylist())}
+        links = linked(values[True], values.get(False), radius).view(np.int64)
         return pa.table({"x": links[:, 0], "y": links[:, 1]})
 
     return a.unionByName(b).groupBy("a_tile", "b_tile").applyInArrow(run, "x long, y long")
