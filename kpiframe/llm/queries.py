@@ -13,6 +13,7 @@ from kpiframe.llm.line_dedup import line_report
 from kpiframe.llm.mixing import mix_report
 from kpiframe.llm.quality import quality_rules
 from kpiframe.llm.simhash import near_duplicates
+from kpiframe.llm.suffix_dedup import suffix_report
 from kpiframe.llm.toxicity import score_toxicity
 
 
@@ -20,6 +21,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_report(table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY = {
     "op1_toxicity": op1_toxicity,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_simhash": op5_simhash,
