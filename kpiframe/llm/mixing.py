@@ -9,6 +9,8 @@ range-sorted by position.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,9 +20,6 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
 #: (time, relative rate) knots per weight slot: the first fades out, the last fades in
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)))
-#: documents whose running token count one task makes in one go
-ROWS_PER_RANGE = 20_000
-
 
 def _pieces(knots) -> list[tuple[float, float, float, float, float, float]]:
     """(u0, u1, t0, t1, r0, r1): the share of the demand met before and after each linear
@@ -99,8 +98,8 @@ def _sizes(docs: DataFrame) -> DataFrame:
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("key"))
 
 
-def mix_plan(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_epochs: int = MAX_EPOCHS,
-             rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+def mix_plan(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES,
+             max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """What the mix takes of each row of ``docs`` and when training reaches it.
 
     Returns one row per input row: doc_id, th (xxhash64 of the text), size (words of the
@@ -112,13 +111,14 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_epochs:
     A source's documents stand in the order of the MD5 of doc_id, ties by doc_id, size and
     text, so reruns agree; rows alike in all of these are interchangeable. The running
     token count is made per (source, range of MD5) and shifted by the ranges before, so a
-    source of any size is spread over tasks; the number of ranges grows with the rows.
+    source of any size is spread over tasks. There are as many ranges as a range has rows, so
+    both grow with the square root of the rows.
     NULL sources are one source, the last. Empty input gives an empty plan.
     """
     if len(schedules) != len(weights):
         raise ValueError("one schedule per weight")
     sizes = stored(_sizes(docs), "mix-sizes")
-    n_ranges = max(1, -(-sizes.count() // rows_per_range))
+    n_ranges = max(1, math.isqrt(sizes.count()))
     targets = source_targets(sizes, weights, max_epochs)
     part = F.conv(F.substring("key", 1, 13), 16, 10).cast("double") / float(16 ** 13)
     sizes = sizes.withColumn("part", F.floor(part * n_ranges).cast("long"))

@@ -269,8 +269,7 @@ def _windows(batches):
             yield pa.RecordBatch.from_arrays(
                 [row.column("s_id").take(same), row.column("s_th").take(same),
                  pa.array(np.array(starts) + at - left), pa.array(h[:, 0].copy()),
-                 pa.array(h[:, 1].copy()), row.column("n").take(same)],
-                ["s_id", "s_th", "start", "g1", "g2", "n"])
+                 pa.array(h[:, 1].copy())], ["s_id", "s_th", "start", "g1", "g2"])
 
 
 # --- the job ----------------------------------------------------------------------------
@@ -324,8 +323,11 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     spans = settled.unionAll(sorted_)
     if not windows.isEmpty():
         windows = stored(windows.mapInArrow(
-            _windows, "s_id long, s_th long, start long, g1 long, g2 long, n long"), "hot-windows")
-        twice = windows.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+            _windows, "s_id long, s_th long, start long, g1 long, g2 long"), "hot-windows")
+        # a window may hold several hot anchors and come once for each
+        place = F.struct("s_id", "s_th", "start")
+        twice = windows.groupBy("g1", "g2").agg(F.min(place).alias("a"), F.max(place).alias("b")) \
+            .filter(~F.col("a").eqNullSafe(F.col("b"))).select("g1", "g2")
         spans = spans.unionAll(windows.join(stored(twice, "hot-repeats"), ["g1", "g2"])
                                .select("s_id", "s_th", "start", (F.col("start") + LENGTH).alias("end")))
     return spans.groupBy("s_id", "s_th").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
