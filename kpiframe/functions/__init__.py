@@ -22,8 +22,6 @@ from kpiframe.functions.text import (
     lookup_by_pattern,
     percent_label,
     recode,
-    rules_from_table,
-    strip_prefix,
 )
 from kpiframe.functions.util import as_list, to_col
 
@@ -31,7 +29,6 @@ __all__ = [
     "as_list", "category_order", "classify", "complement", "count_if", "if_else",
     "lookup_by_pattern", "month_name", "month_start", "null_to_zero", "per_thousand",
     "percent_label", "percent_of", "period_parse", "proportion_of", "recode",
-    "regex_flag", "report_stamp", "round_even", "row_sum", "rules_from_table", "safe_ratio",
-    "strip_prefix",
+    "regex_flag", "report_stamp", "round_even", "row_sum", "safe_ratio",
     "sum_na", "to_col",
 ]

@@ -33,23 +33,6 @@ def lookup_by_pattern(c, rules, default=None) -> Column:
     return classify(c, rules, default)
 
 
-def rules_from_table(rules_df, pattern: str = "pattern", value: str = "target",
-                     priority: str | None = "priority", max_rules: int = 1000) -> list:
-    """Look-up rules kept in a table (e.g. a targets CSV) as ``[(pattern, value)]``
-    in priority order, for ``lookup_by_pattern``.
-
-    Rules are plan constants, not data: at most ``max_rules + 1`` rows are
-    taken, and a larger table is refused (a size-checked bound), so the
-    look-up stays one CASE expression with no theta join.
-    """
-    ordered = rules_df.orderBy(priority) if priority else rules_df
-    rows = ordered.select(pattern, value).limit(max_rules + 1).collect()
-    if len(rows) > max_rules:
-        raise ValueError(f"rules_from_table: more than {max_rules} rules; "
-                         "a look-up table this large should be joined on an exact key")
-    return [(r[0], r[1]) for r in rows]
-
-
 def recode(c, mapping: dict, keep_unmapped: bool = True) -> Column:
     """Replace values by name (``{"old": "new"}``); unmapped values are kept
     (or become NULL with ``keep_unmapped=False``)."""
@@ -74,19 +57,16 @@ def category_order(c, levels) -> Column:
 
 
 def percent_label(c, na_label: str | None = None) -> Column:
-    """``paste0(x, "%")`` for a whole-number percentage.
+    """``paste0(x, "%")``: a whole number without decimals, any other as it is
+    (``45%``, ``45.7%``).
 
     Missing values give NULL unless ``na_label`` is given (R prints ``NA%``).
     """
     col = to_col(c)
-    label = F.concat(col.cast("long").cast("string"), F.lit("%"))
+    number = col.cast("double")
+    whole = (number == F.rint(number)) & (F.abs(number) < F.lit(1e15))
+    text = F.when(whole, number.cast("long").cast("string")).otherwise(number.cast("string"))
+    label = F.concat(text, F.lit("%"))
     if na_label is not None:
         label = F.when(col.isNull(), F.lit(na_label)).otherwise(label)
     return label
-
-
-def strip_prefix(c, prefix: str) -> Column:
-    """Remove a literal prefix from a name column (``names_prefix=``)."""
-    import re
-
-    return F.regexp_replace(to_col(c), "^" + re.escape(prefix), "")

@@ -37,24 +37,46 @@ def count_if_by(df: DataFrame, by, conds: dict) -> DataFrame:
 
 
 def with_total(df: DataFrame, by, aggs: dict, label: str = "Total",
-               label_col: str | None = None) -> DataFrame:
+               label_col: str | None = None, flag: str | None = None) -> DataFrame:
     """Group rows plus one grand-total row, in a single pass.
 
     ``GROUPING SETS ((by...), ())``: each input row is expanded twice (once per
     level, whatever the number of keys) and both levels are aggregated
     together, partial + final. The total row carries ``label`` in
-    ``label_col`` (default: the first key) and NULL in the other keys;
-    ``grouping_id`` separates it from a real group whose key is NULL.
+    ``label_col`` (default: the first key; returned as a string whatever its
+    type) and NULL in the other keys; ``grouping_id`` separates it from a real
+    group whose key is NULL or reads like the label, and ``flag`` names a
+    boolean column that says so.
     """
     by = as_list(by)
     label_col = label_col or by[0]
     g = df.groupingSets([by, []], *by).agg(*[c.alias(n) for n, c in aggs.items()],
                                            F.grouping_id().alias("_gid"))
-    g = g.withColumn(label_col, F.when(F.col("_gid") != F.lit(0), F.lit(label))
-                     .otherwise(F.col(label_col)))
+    total = F.col("_gid") != F.lit(0)
+    g = g.withColumn(label_col, F.when(total, F.lit(label))
+                     .otherwise(F.col(label_col).cast("string")))
+    if flag:
+        g = g.withColumn(flag, total)
     return g.drop("_gid")
 
 
+def with_total_sum(df: DataFrame, by, aggs: dict, label: str = "Total",
+                   label_col: str | None = None) -> DataFrame:
+    """``with_total`` for aggregates that add up (sums, counts): the total row is
+    the sum of the group rows, so input rows are not expanded. Both levels read
+    the same aggregate; Spark reuses its exchange, so the input is read once.
+    """
+    by = as_list(by)
+    label_col = label_col or by[0]
+    g = group_agg(df, by, aggs)
+    types = {f.name: f.dataType for f in g.schema.fields}
+    total = g.agg(*[F.sum(F.col(n)).cast(types[n]).alias(n) for n in aggs])
+    keys = [F.lit(label).alias(k) if k == label_col else F.lit(None).cast(types[k]).alias(k)
+            for k in by]
+    g = g.withColumn(label_col, F.col(label_col).cast("string"))
+    return g.unionByName(total.select(*keys, *aggs))
+
+
 def ratio_of_sums(df: DataFrame, by, num: str, den: str, name: str = "ratio",
                   digits: int | None = 2, kind: str = "proportion",
                   num_name: str | None = None, den_name: str | None = None) -> DataFrame:
@@ -94,7 +116,8 @@ def histogram(df: DataFrame, c, bins: int, name: str = "count") -> DataFrame:
 
     Bin rule of the reference plots: width = (max - min) / (bins - 1), first
     edge = min - width / 2, bins closed on the right; a single bin spans
-    [min, max]. A constant column gets a width of 0.1. Min and max come from
+    [min, max]. A constant column gets a width of 0.1. Missing and non-finite
+    values are left out. Min and max come from
     one scalar subquery (one extra scan, a one-row result), so nothing is
     collected and no cross join is needed;
     the bin number is then a plain projection and the count a partial +
@@ -103,7 +126,8 @@ def histogram(df: DataFrame, c, bins: int, name: str = "count") -> DataFrame:
     if bins < 1:
         raise ValueError("histogram: bins must be >= 1")
     x = to_col(c).cast("double")
-    vals = df.select(x.alias("_x")).filter(F.col("_x").isNotNull())
+    # NaN and infinities have no bin
+    vals = df.select(x.alias("_x")).filter(F.abs(F.col("_x")) < F.lit(float("inf")))
     rng = vals.agg(F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi")).alias("r")).scalar()
     lo, hi = rng["lo"], rng["hi"]
     if bins == 1:

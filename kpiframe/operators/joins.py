@@ -12,21 +12,32 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiframe.functions.text import lookup_by_pattern as _lookup_expr
 from kpiframe.functions.util import as_list
 
+RULES_PER_BLOCK = 1000
 
-def left_join_nullsafe(left: DataFrame, right: DataFrame, keys, how: str = "left") -> DataFrame:
+
+def left_join_nullsafe(left: DataFrame, right: DataFrame, keys, how: str = "left",
+                       present=()) -> DataFrame:
     """Join on ``keys`` with NULL-matches-NULL; one copy of the keys is kept (the
     left one; the right one for a right join; either for a full join),
-    followed by the other columns of both sides."""
+    followed by the other columns of both sides.
+
+    Keys named in ``present`` are never NULL and are compared plainly: Spark then
+    shuffles and sorts on the key alone, not on the key and its NULL flag. NULL
+    matching NULL pairs every row whose keys are all missing with every such row
+    of the other side, as the dashboards' joins do.
+    """
     keys = as_list(keys)
+    present = set(as_list(present) or ())
     lt, rt = left.alias("_l"), right.alias("_r")
     cond = reduce(lambda a, b: a & b,
-                  [F.col(f"_l.{k}").eqNullSafe(F.col(f"_r.{k}")) for k in keys])
+                  [F.col(f"_l.{k}") == F.col(f"_r.{k}") if k in present
+                   else F.col(f"_l.{k}").eqNullSafe(F.col(f"_r.{k}")) for k in keys])
     joined = lt.join(rt, cond, how)
     kind = how.lower().replace("_", "")
     if kind in ("full", "outer", "fullouter"):
@@ -45,6 +56,34 @@ def inner_join_nullsafe(left: DataFrame, right: DataFrame, keys) -> DataFrame:
     return left_join_nullsafe(left, right, keys, how="inner")
 
 
+def lookup_by_rules(df: DataFrame, c: str, rules: DataFrame, out: str, pattern: str = "pattern",
+                    value: str = "target", priority: str = "priority") -> DataFrame:
+    """Add ``out`` = value of the lowest-priority rule of a table whose regex matches
+    ``c``; NULL when none does (or ``c`` is missing). The rule table may have any size.
+
+    Only the distinct names are tried. The rules are packed into blocks of
+    ``RULES_PER_BLOCK`` in priority order; a name meets each block once, by an
+    equi-join on the block's number, and stops at its first match there. The best
+    block's match is kept by a (map-side combined) ``min_by`` and joined back on the
+    name. Ties in priority go to the lesser pattern.
+    """
+    numbered = rules.select(F.struct(F.col(priority).alias("priority"),
+                                     F.col(pattern).alias("pattern"),
+                                     F.col(value).alias("value")).alias("rule")) \
+        .filter(F.col("rule.pattern").isNotNull()) \
+        .withColumn("block", F.floor((F.row_number().over(Window.orderBy(
+            "rule.priority", "rule.pattern")) - 1) / RULES_PER_BLOCK).cast("long"))
+    blocks = numbered.groupBy("block").agg(F.array_sort(F.collect_list("rule")).alias("rules"))
+    last = numbered.agg(F.max("block").alias("m")).scalar()
+    names = df.select(F.col(c).alias("_name")).filter(F.col("_name").isNotNull()).distinct()
+    tried = names.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    found = tried.join(blocks, "block").select("_name", F.get(F.filter(
+        "rules", lambda r: F.regexp_like(F.col("_name"), r["pattern"])), F.lit(0)).alias("rule"))
+    best = found.filter(F.col("rule").isNotNull()).groupBy("_name").agg(F.min_by(
+        F.col("rule.value"), F.struct("rule.priority", "rule.pattern")).alias(out))
+    return df.join(best, F.col(c) == F.col("_name"), "left").select(*df.columns, out)
+
+
 def lookup_by_pattern(df: DataFrame, c: str, rules, out: str, default=None) -> DataFrame:
     """Add ``out`` = value of the first ``(pattern, value)`` rule whose regex matches
     ``c``; NULL (or ``default``) when none does."""

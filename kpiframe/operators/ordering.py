@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from kpiframe.functions.util import as_list
 
@@ -26,3 +27,12 @@ def append(*dfs: DataFrame) -> DataFrame:
     """Append tables of the same layout by name; duplicates kept, a column
     mismatch is an error (``rbind``)."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=False), dfs)
+
+
+def level_number(df: DataFrame, c: str, name: str = "level") -> DataFrame:
+    """Add the 1-based number of each value among the sorted distinct values of
+    ``c`` (the default order of a category); missing values have none. Only the
+    distinct values are ranked, and they are joined back on the value."""
+    levels = df.select(F.col(c).alias("_level")).filter(F.col("_level").isNotNull()).distinct()
+    ranked = levels.withColumn(name, F.row_number().over(Window.orderBy("_level")).cast("long"))
+    return df.join(ranked, F.col(c) == F.col("_level"), "left").select(*df.columns, name)

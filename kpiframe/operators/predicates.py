@@ -17,7 +17,8 @@ def not_null(df: DataFrame, c) -> DataFrame:
 def exclude_values(df: DataFrame, c, values) -> DataFrame:
     """Drop rows whose value is one of ``values``; missing values are dropped too
     (a chain of ``x != v`` conditions is never TRUE on a missing ``x``)."""
-    return df.filter(~to_col(c).isin(list(values)))
+    col = to_col(c)
+    return df.filter(col.isNotNull() & ~col.isin(list(values)))
 
 
 def matches(df: DataFrame, c, pattern: str) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiframe.functions.util import as_list
+from kpiframe.session import shared_dir
 
 
 def _need_order(order):
@@ -29,19 +30,51 @@ def _need_order(order):
 
 
 def number_within(df: DataFrame, by, order, name: str = "survey",
-                  chunks: int | None = None) -> DataFrame:
+                  chunks: int | None = None, bounded: bool = False) -> DataFrame:
     """Number rows 1, 2, 3 ... within each group in ``order`` (``row_number()``).
 
-    With ``chunks=k`` the numbering is computed without ever putting a whole
-    group in one task (for raw tables where one key may hold a large share of
-    the rows): see ``_number_within_chunked``. ``order`` must then be column
-    names, ascending, the first one numeric, date or timestamp.
+    A group may hold any share of the rows: by default the rows are split at
+    sampled bounds of (group, order), so that a large group spans tasks and only
+    rows equal in the whole order stay together (``_number_within_ranges``; it
+    checkpoints the split rows, a job that runs when this function is called).
+    With ``chunks=k`` the split is at quantiles of the first order column, without
+    a checkpoint; ``order`` must then be column names, ascending, the first one
+    numeric, date or timestamp. ``bounded=True`` says that every group is small
+    (a panel's rows per entity): one plain window.
     """
     order = _need_order(order)
+    if bounded:
+        w = Window.partitionBy(*as_list(by)).orderBy(*order)
+        return df.withColumn(name, F.row_number().over(w).cast("long"))
     if chunks:
         return _number_within_chunked(df, as_list(by), order, name, chunks)
-    w = Window.partitionBy(*as_list(by)).orderBy(*order)
-    return df.withColumn(name, F.row_number().over(w).cast("long"))
+    return _number_within_ranges(df, as_list(by), order, name)
+
+
+def _number_within_ranges(df: DataFrame, by: list, order: list, name: str) -> DataFrame:
+    """Row numbers inside (group, range partition), shifted by the rows of the group in
+    the partitions before. The partition number is part of the checkpoint, so both
+    uses of it agree whatever is computed again."""
+    shared_dir(df.sparkSession)
+    ranged = (df.repartitionByRange(*by, *order).withColumn("_chunk", F.spark_partition_id())
+              .checkpoint(eager=True))
+    local = ranged.withColumn("_rn", F.row_number().over(
+        Window.partitionBy(*by, "_chunk").orderBy(*order)))
+    return _shifted(local, ranged, df.columns, by, name)
+
+
+def _shifted(local: DataFrame, keyed: DataFrame, columns: list, by: list, name: str) -> DataFrame:
+    counts = keyed.groupBy(*by, "_chunk").agg(F.count(F.lit(1)).alias("_cnt"))
+    before = Window.partitionBy(*by).orderBy("_chunk") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0))) \
+        .drop("_cnt")
+    lt, rt = local.alias("_l"), offsets.alias("_r")
+    cond = reduce(lambda a, b: a & b,
+                  [F.col(f"_l.{k}").eqNullSafe(F.col(f"_r.{k}")) for k in by + ["_chunk"]])
+    return lt.join(rt, cond, "inner").select(
+        *[F.col(f"_l.{c}") for c in columns],
+        (F.col("_l._rn") + F.col("_r._off")).cast("long").alias(name))
 
 
 def _order_number(df: DataFrame, c: str):
@@ -78,18 +111,7 @@ def _number_within_chunked(df: DataFrame, by: list, order: list, name: str,
     keyed = df.withColumn("_chunk", chunk)
     local = keyed.withColumn("_rn", F.row_number().over(
         Window.partitionBy(*by, "_chunk").orderBy(*order)))
-    counts = keyed.groupBy(*by, "_chunk").agg(F.count(F.lit(1)).alias("_cnt"))
-    before = Window.partitionBy(*by).orderBy("_chunk") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0))) \
-        .drop("_cnt")
-    lt, rt = local.alias("_l"), offsets.alias("_r")
-    cond = reduce(lambda a, b: a & b,
-                  [F.col(f"_l.{k}").eqNullSafe(F.col(f"_r.{k}")) for k in by + ["_chunk"]])
-    out = lt.join(rt, cond, "inner").select(
-        *[F.col(f"_l.{c}") for c in df.columns],
-        (F.col("_l._rn") + F.col("_r._off")).cast("long").alias(name))
-    return out
+    return _shifted(local, keyed, df.columns, by, name)
 
 
 def _orderable(dt) -> bool:
@@ -104,7 +126,8 @@ def _extreme(df: DataFrame, by, order, last: bool) -> DataFrame:
         # ties on the order key are broken by the other columns: deterministic
         pick = F.max(s) if last else F.min(s)
     else:
-        # maps cannot be compared: pick by the order key alone
+        # maps cannot be compared: pick by the order key alone, which must then be unique
+        # within a group (add a tie-breaker to ``order``), or any tied row is picked
         key = F.struct(*[F.col(c) for c in order])
         pick = F.max_by(s, key) if last else F.min_by(s, key)
     g = df.groupBy(*by).agg(pick.alias("_pick"))
@@ -157,10 +180,13 @@ def entity_page(df: DataFrame, key: str, page_size: int = 4, page: int = 1,
     Ranks the *distinct* keys only, takes the first ``page * page_size`` with a
     distributed top-k (``orderBy().limit()``), and joins them back. The joined
     side has at most ``page_size`` rows (a bound set by the caller), so it is
-    broadcast explicitly.
+    broadcast explicitly. ``df`` is read twice, so it is checkpointed first (a
+    job that runs when this function is called): give the aggregated panel.
     """
     if page < 1 or page_size < 1:
         raise ValueError("entity_page: page and page_size start at 1")
+    shared_dir(df.sparkSession)
+    df = df.checkpoint(eager=True)
     top = df.select(key).distinct().filter(F.col(key).isNotNull()) \
         .orderBy(key).limit(page * page_size)
     ranked = top.withColumn(name, F.row_number().over(Window.orderBy(key)).cast("long") -

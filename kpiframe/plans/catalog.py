@@ -7,6 +7,7 @@ from them) in full; nothing is sampled, capped or filtered to keep it cheap.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,9 +41,13 @@ from kpiframe.plans.sql import (
 from kpiframe.session import scratch_path
 from kpiframe.sources import files as S
 from kpiframe.sources import generators as G
-from kpiframe.sources.literals import KPI_DICTIONARY_ROWS, kpi_dictionary
+from kpiframe.sources.literals import (
+    KPI_DICTIONARY_ROWS,
+    MAIN_PAGE_DICTIONARY_ROWS,
+    kpi_dictionary,
+)
 from kpiframe.sources.tables import table
-from kpiframe.streaming.refresh import refresh_once
+from kpiframe.streaming.refresh import read_current, refresh_every, refresh_once
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -113,7 +118,7 @@ def q_multi_file_scan(spark, d):
     schema = ("o_orderkey bigint, o_custkey bigint, o_totalprice double, "
               "o_orderdate timestamp_ntz, o_orderpriority string")
     many = S.read_many(spark, f"{path}/o_orderstatus=*/*.csv", schema)
-    status = F.regexp_extract(F.col("source_file"), r"o_orderstatus=([^/]+)/", 1)
+    status = I.path_part(F.col("source_file"), r"o_orderstatus=([^/]+)/")
     return many.select("o_orderkey", "o_custkey", status.alias("o_orderstatus"),
                        "o_totalprice", "o_orderdate", "o_orderpriority")
 
@@ -151,14 +156,47 @@ def q_ingest_reports(spark, d):
 
 
 @query("tag_union", """
-SELECT *, 'F' AS batch FROM orders WHERE o_orderstatus = 'F'
-UNION ALL SELECT *, 'O' AS batch FROM orders WHERE o_orderstatus = 'O'
-UNION ALL SELECT *, 'P' AS batch FROM orders WHERE o_orderstatus = 'P'""")
+SELECT s_suppkey AS unit_key, s_name AS unit_name, s_nationkey AS nation_key, s_acctbal AS balance,
+       'supplier' AS batch FROM supplier
+UNION ALL
+SELECT c_custkey, c_name, c_nationkey, c_acctbal, 'customer' FROM customer""")
 def q_tag_union(spark, d):
-    """Tag each source with a constant column and append them by name."""
-    orders = table(spark, d, "orders")
-    parts = [O.tag(O.filter_equals(orders, "o_orderstatus", s), "batch", s) for s in "FOP"]
-    return O.append(*parts)
+    """Two tables of one layout, each tagged with a constant column and appended by name;
+    every row of both stays and each table is scanned once."""
+    names = ["unit_key", "unit_name", "nation_key", "balance"]
+    supplier = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey",
+                                                  "s_acctbal").toDF(*names)
+    customer = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey",
+                                                  "c_acctbal").toDF(*names)
+    return O.append(O.tag(supplier, "batch", "supplier"), O.tag(customer, "batch", "customer"))
+
+
+@query("status_batches", "SELECT *, coalesce(o_orderstatus, 'none') AS batch FROM orders")
+def q_status_batches(spark, d):
+    """Every order with the batch it belongs to, in one scan: statuses are not listed, so
+    none is lost, and a missing one is a batch of its own."""
+    return table(spark, d, "orders").withColumn(
+        "batch", F.coalesce(F.col("o_orderstatus"), F.lit("none")))
+
+
+@query("csv_write", "SELECT p_partkey, p_name, p_size, p_retailprice FROM part")
+def q_csv_write(spark, d):
+    """Parts written as CSV twice (the second write replaces the first) and read back."""
+    parts = table(spark, d, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")
+    path = scratch_path(spark, "csv_write")
+    S.write_csv(parts.limit(1), path)
+    S.write_csv(parts, path)
+    return S.read_table(spark, path, parts.schema)
+
+
+@query("since_date", """
+SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders
+WHERE o_orderdate >= DATE '1998-01-01'""")
+def q_since_date(spark, d):
+    """Orders on or after a literal date."""
+    o = table(spark, d, "orders")
+    return o.filter(F.col("o_orderdate") >= F.to_date(F.lit("1998-01-01"))) \
+        .select("o_orderkey", F.to_date("o_orderdate").alias("day"))
 
 
 @query("panel_grid", FM + """,
@@ -179,7 +217,26 @@ def q_panel_grid(spark, d):
     return P.complete_panel(agg, "district", "period", ["expected_reports"])
 
 
-@query("demo_sample")
+def _uniform_sql(stream: int) -> str:
+    """``generators.uniform`` with seed 123 over the line item's key."""
+    key = f"'123|{stream}|' || l_orderkey || '|' || l_linenumber"
+    return f"((CAST('0x' || substr(md5({key}), 1, 13) AS BIGINT) + 0.5::DOUBLE) / {16 ** 13}::DOUBLE)"
+
+
+def _poisson_sql(u: str, lam: float) -> str:
+    steps = G.poisson_thresholds(lam)
+    branches = " ".join(f"WHEN {u} <= {x!r}::DOUBLE THEN {k}" for k, x in enumerate(steps))
+    return f"CASE {branches} ELSE {len(steps)} END"
+
+
+@query("demo_sample", f"""
+WITH u AS (SELECT l_orderkey, l_linenumber, {_uniform_sql(1)} AS u1, {_uniform_sql(2)} AS u2,
+                  {_uniform_sql(3)} AS u3 FROM lineitem)
+SELECT l_orderkey, l_linenumber,
+       round_even(sqrt(-2.0::DOUBLE * ln(u1)) * cos({2 * math.pi!r}::DOUBLE * u2), 6) AS x,
+       round_even(sqrt(-2.0::DOUBLE * ln(u1)) * sin({2 * math.pi!r}::DOUBLE * u2), 6) AS y,
+       CAST({_poisson_sql('u3', 5.0)} AS INTEGER) AS z
+FROM u""")
 def q_demo_sample(spark, d):
     """One seeded (x, y, z) draw per line item: x, y ~ N(0,1), z ~ Poisson(5)."""
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
@@ -202,7 +259,7 @@ SELECT res.district, res.period, res.kpi, res.value, dict.description, dict.disa
 FROM res LEFT JOIN dict ON res.kpi = dict.kpi""")
 def q_kpi_dictionary(spark, d):
     """KPI results in long form annotated from the KPI dictionary (a fixed
-    20-row table: broadcast). Both KPIs come out of one aggregation of the
+    20-row table). Both KPIs come out of one aggregation of the
     report, then one row-local unpivot."""
     fm = V.facility_month(spark, d)
     stock = X.row_sum(*[X.null_to_zero(c) for c in V.STOCK_COLUMNS])
@@ -220,6 +277,21 @@ def q_kpi_dictionary(spark, d):
         .select("district", "period", "kpi", "value", "description", "disaggregation")
 
 
+@query("kpi_dictionary_main", KP + """,
+dict(kpi, description, disaggregation) AS (VALUES """ + ", ".join(
+    f"({sql_string(a)}, {sql_string(b)}, {sql_string(c)})" for a, b, c in MAIN_PAGE_DICTIONARY_ROWS) + """)
+SELECT kp.adm0, kp.date, dict.kpi, kp.n_events AS value, dict.description, dict.disaggregation
+FROM kp JOIN dict ON dict.kpi = 'RHCC' || CAST(extract('day' FROM kp.date) AS VARCHAR)""")
+def q_kpi_dictionary_main(spark, d):
+    """Panel rows annotated from the main page's dictionary (19 rows), by the code that the
+    day of the month gives."""
+    kp = V.kpi_panel(spark, d)
+    code = F.concat(F.lit("RHCC"), F.dayofmonth("date").cast("string"))
+    long = kp.select("adm0", "date", code.alias("kpi"), F.col("n_events").alias("value"))
+    return O.not_null(P.annotate_kpis(long, kpi_dictionary(spark, "main")), "description") \
+        .select("adm0", "date", "kpi", "value", "description", "disaggregation")
+
+
 @query("report_stamp", FM + """
 SELECT district, COUNT(*) AS n_reports, strftime(current_date, '%Y-%b-%d') AS report_date
 FROM fm GROUP BY district""")
@@ -406,6 +478,20 @@ def q_percent_label(spark, d):
                      (F.col("expected_reports") + F.lit(100.0)).alias("label_y"))
 
 
+@query("percent_label_decimals", FM + """,
+p AS (SELECT district, facility, period,
+             round_even(actual_reports / NULLIF(expected_reports, 0) * 100, 1) AS pct FROM fm)
+SELECT district, facility, period, pct,
+       CASE WHEN pct = floor(pct) THEN CAST(CAST(pct AS BIGINT) AS VARCHAR) ELSE CAST(pct AS VARCHAR) END
+         || '%' AS pct_label FROM p""")
+def q_percent_label_decimals(spark, d):
+    """Labels of percentages with a decimal: as they are, whole ones without it."""
+    fm = V.facility_month(spark, d)
+    pct = X.percent_of("actual_reports", "expected_reports", 1)
+    return fm.select("district", "facility", "period", pct.alias("pct"),
+                     X.percent_label(pct).alias("pct_label"))
+
+
 @query("recode", """
 SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'urgent'
                         WHEN o_orderpriority = '2-HIGH' THEN 'high'
@@ -427,6 +513,17 @@ def q_category_order(spark, d):
                     X.category_order("o_orderpriority", PRIORITY_LEVELS).alias("priority_order"))
 
 
+@query("level_number", """
+SELECT o_orderkey, o_orderpriority,
+       CASE WHEN o_orderpriority IS NOT NULL
+            THEN CAST(dense_rank() OVER (ORDER BY o_orderpriority NULLS LAST) AS BIGINT) END AS level
+FROM orders""")
+def q_level_number(spark, d):
+    """The default order of a category: the number of its value among the sorted ones."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
+    return O.level_number(o, "o_orderpriority", "level")
+
+
 @query("period_parse", """
 SELECT o_orderkey, strftime(o_orderdate, '%B %Y') AS periodname,
        CAST(strptime(strftime(o_orderdate, '%B %Y'), '%B %Y') AS DATE) AS period
@@ -524,6 +621,26 @@ def q_join_pattern_lookup(spark, d):
     return O.lookup_by_pattern(tr, "district", DISTRICT_TARGETS, "target")
 
 
+@query("join_rule_table", TR + """,
+rules AS (SELECT '^' || n_name || '$' AS pattern, CAST(n_nationkey AS DOUBLE) AS target, n_nationkey AS priority
+          FROM nation WHERE n_nationkey % 2 = 0
+          UNION ALL SELECT r_name, 1000.0::DOUBLE + r_regionkey, 100 + r_regionkey FROM region),
+best AS (SELECT name, min_by(target, priority) AS target
+         FROM (SELECT DISTINCT district AS name FROM tr WHERE district IS NOT NULL) n
+         JOIN rules ON regexp_matches(n.name, rules.pattern) GROUP BY name)
+SELECT tr.province, tr.district, tr.cadre, best.target FROM tr LEFT JOIN best ON tr.district = best.name""")
+def q_join_rule_table(spark, d):
+    """District target by the first matching rule of a rule table derived from the data."""
+    nation = table(spark, d, "nation").filter(F.col("n_nationkey") % 2 == 0).select(
+        F.concat(F.lit("^"), F.col("n_name"), F.lit("$")).alias("pattern"),
+        F.col("n_nationkey").cast("double").alias("target"), F.col("n_nationkey").alias("priority"))
+    region = table(spark, d, "region").select(
+        F.col("r_name").alias("pattern"), (F.col("r_regionkey") + F.lit(1000.0)).alias("target"),
+        (F.col("r_regionkey") + F.lit(100)).alias("priority"))
+    tr = V.training(spark, d).select("province", "district", "cadre")
+    return O.lookup_by_rules(tr, "district", O.append(nation, region), "target")
+
+
 # ====================================================================== aggregation
 
 @query("group_sum", FM + """
@@ -580,8 +697,8 @@ def q_group_regroup(spark, d):
 SELECT district, COALESCE(SUM(expected_reports), 0) AS expected FROM fm GROUP BY district
 UNION ALL SELECT 'Total', COALESCE(SUM(expected_reports), 0) FROM fm""")
 def q_group_total(spark, d):
-    return O.with_total(V.facility_month(spark, d), ["district"],
-                        {"expected": X.sum_na("expected_reports")}, label="Total")
+    return O.with_total_sum(V.facility_month(spark, d), ["district"],
+                            {"expected": X.sum_na("expected_reports")}, label="Total")
 
 
 @query("sorted_group", FM + """
@@ -623,22 +740,31 @@ def q_share_without(spark, d):
         not_fmt="percent_{}_not_stocked_out")
 
 
-@query("histogram", f"""
-WITH r AS (SELECT MIN(l_quantity) AS lo, MAX(l_quantity) AS hi FROM lineitem WHERE l_quantity IS NOT NULL),
-w AS (SELECT lo, CASE WHEN hi = lo THEN 0.1 ELSE (hi - lo) / {float(HIST_BINS - 1)} END AS width FROM r),
+def _histogram_sql(col: str, tbl: str, bins: int) -> str:
+    return f"""
+WITH r AS (SELECT MIN({col}) AS lo, MAX({col}) AS hi FROM {tbl} WHERE {col} IS NOT NULL),
+w AS (SELECT lo, CASE WHEN hi = lo THEN 0.1 ELSE (hi - lo) / {float(bins - 1)} END AS width FROM r),
 e AS (SELECT lo - width / 2.0 AS edge0, width FROM w),
-c AS (SELECT GREATEST(1, LEAST({HIST_BINS}, CAST(CEIL((l_quantity - e.edge0) / e.width) AS BIGINT))) AS bin,
+c AS (SELECT GREATEST(1, LEAST({bins}, CAST(CEIL(({col} - e.edge0) / e.width) AS BIGINT))) AS bin,
              COUNT(*) AS count
-      FROM lineitem, e WHERE l_quantity IS NOT NULL GROUP BY 1),
-b AS (SELECT CAST(range AS BIGINT) AS bin FROM range(1, {HIST_BINS + 1}))
+      FROM {tbl}, e WHERE {col} IS NOT NULL GROUP BY 1),
+b AS (SELECT CAST(range AS BIGINT) AS bin FROM range(1, {bins + 1}))
 SELECT b.bin, e.edge0 + (b.bin - 1) * e.width AS lower, e.edge0 + b.bin * e.width AS upper,
        COALESCE(c.count, 0) AS count
-FROM b CROSS JOIN e LEFT JOIN c ON b.bin = c.bin""")
+FROM b CROSS JOIN e LEFT JOIN c ON b.bin = c.bin"""
+
+@query("histogram", _histogram_sql("l_quantity", "lineitem", HIST_BINS))
 def q_histogram(spark, d):
     """Equal-width histogram of line quantities, all bins including empty ones."""
     return O.histogram(table(spark, d, "lineitem"), "l_quantity", HIST_BINS)
 
 
+@query("histogram_20", _histogram_sql("value", "events", 20))
+def q_histogram_20(spark, d):
+    """The dashboard's 20 bins, over the events' values."""
+    return O.histogram(table(spark, d, "events"), "value", 20)
+
+
 # ====================================================================== windows
 
 @query("number_within", KP + """
@@ -721,6 +847,29 @@ def q_kpi_series(spark, d):
     return P.kpi_series(V.kpi_panel(spark, d), ["n_events", "n_users", "n_large"])
 
 
+@query("kpi_series_expression", KP + """
+SELECT adm0, date, 'large_per_1000' AS kpi, n_large / NULLIF(n_events, 0) * 1000 AS value FROM kp
+ORDER BY adm0, kpi, date""")
+def q_kpi_series_expression(spark, d):
+    """The monthly series of a column expression."""
+    return P.kpi_series(V.kpi_panel(spark, d), X.per_thousand("n_large", "n_events"),
+                        name="large_per_1000")
+
+
+@query("kpi_latest", KP + """
+SELECT adm0, date, pct_large,
+       CASE WHEN pct_large = floor(pct_large) THEN CAST(CAST(pct_large AS BIGINT) AS VARCHAR)
+            ELSE CAST(pct_large AS VARCHAR) END || '%' AS label, pct_large / 2.0 AS label_pos
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY adm0 ORDER BY date DESC) AS rn
+      FROM (SELECT adm0, date, round_even(n_large / NULLIF(n_events, 0) * 100, 2) AS pct_large FROM kp)
+      WHERE pct_large IS NOT NULL)
+WHERE rn = 1""")
+def q_kpi_latest(spark, d):
+    """The latest value per entity with its label as it reads, no remainder."""
+    return P.kpi_latest(V.kpi_panel(spark, d), X.percent_of("n_large", "n_events", 2),
+                        name="pct_large")
+
+
 @query("kpi_bars", KP + " SELECT adm0, date, n_large FROM kp WHERE n_large IS NOT NULL")
 def q_kpi_bars(spark, d):
     return P.kpi_bars(V.kpi_panel(spark, d), "n_large")
@@ -924,3 +1073,24 @@ def q_stream_refresh(spark, d):
         return g.select("event_type", "n_events", X.round_even("_sum", 2).alias("sum_value"))
 
     return refresh_once(spark, f"{d.rstrip('/')}/events*.parquet", schema, transform, out, ckpt)
+
+
+@query("stream_refresh_poll", """
+SELECT event_type, COUNT(*) AS n_events, COUNT(DISTINCT user_id) AS n_users
+FROM (SELECT event_type, user_id FROM events) GROUP BY event_type""")
+def q_stream_refresh_poll(spark, d):
+    """The polling refresh: the stream keeps (event type, user) counts current; once it has
+    caught up it is stopped, and the distinct users are counted from its last result."""
+    schema = table(spark, d, "events").schema
+    out = scratch_path(spark, "stream_poll_out")
+    ckpt = scratch_path(spark, "stream_poll_ckpt")
+    running = refresh_every(spark, f"{d.rstrip('/')}/events*.parquet", schema,
+                            lambda s: s.groupBy("event_type", "user_id").count(), out, ckpt,
+                            interval="1 second")
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    return read_current(spark, out).groupBy("event_type").agg(
+        F.sum("count").alias("n_events"),
+        F.count(F.when(F.col("user_id").isNotNull(), 1)).alias("n_users"))

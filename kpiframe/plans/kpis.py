@@ -20,6 +20,7 @@ from kpiframe.operators.schema import cols_matching, select_matching
 
 # ---------------------------------------------------------------- training
 
+# Output column names.
 TRAINING_MEASURES = ["male_chws_trained", "female_chws_trained",
                      "male_chws_equipped", "female_chws_equipped"]
 
@@ -68,12 +69,12 @@ def target_reached(base: DataFrame, targets, national_target: float,
     """Trained CHWs per district against targets found by name pattern (first
     match wins), plus one national row against the national target."""
     long = training_long(base, "trained")
+    # the flag, not the label, says which row is national: a district may be called so
     g = with_total(long, ["district"], {"chws_trained": sum_na("count")},
-                   label=national_label)
+                   label=national_label, flag="_national")
     g = g.withColumn("target_chws",
-                     F.when(F.col("district") == F.lit(national_label),
-                            F.lit(float(national_target)))
-                     .otherwise(lookup_by_pattern("district", targets)))
+                     F.when(F.col("_national"), F.lit(float(national_target)))
+                     .otherwise(lookup_by_pattern("district", targets))).drop("_national")
     g = g.withColumn("pct_trained", percent_of("chws_trained", "target_chws", 0))
     return g.withColumns({
         "pct_label": percent_label("pct_trained"),
@@ -169,7 +170,8 @@ def referral_joined(report: DataFrame, managed_cols) -> DataFrame:
         *REFERRAL_KEYS, "stat", F.col("n").alias("referral_count"))
     mans = cells.filter(side == F.lit("M")).select(
         *REFERRAL_KEYS, F.col("stat").alias("stat2"), F.col("n").alias("managed_count"))
-    return left_join_nullsafe(refs, mans, REFERRAL_KEYS)
+    # both have a default, so they are never missing
+    return left_join_nullsafe(refs, mans, REFERRAL_KEYS, present=["age_group", "gender"])
 
 
 def referral(report: DataFrame, managed_cols, digits: int = 2) -> DataFrame:

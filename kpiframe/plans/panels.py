@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kpiframe.functions.arithmetic import percent_of, round_even, row_sum
+from kpiframe.functions.arithmetic import per_thousand, percent_of, round_even, row_sum
 from kpiframe.functions.nulls import null_to_zero
 from kpiframe.functions.text import category_order, percent_label
 from kpiframe.functions.util import as_list, to_col
@@ -25,12 +25,24 @@ def _value(value, name: str | None) -> tuple[Column, str]:
     return F.col(value), name or value
 
 
+def _named_values(values, name: str | None) -> dict[str, Column]:
+    """Column names, a Column (called ``name``) or ``{name: Column}`` as one mapping."""
+    if isinstance(values, dict):
+        return {n: v if isinstance(v, Column) else F.col(v) for n, v in values.items()}
+    return {n: v for v, n in (_value(x, name) for x in as_list(values))}
+
+
 def kpi_series(df: DataFrame, kpis, by: str = "adm0", date: str = "date",
                lo: float | None = None, hi: float | None = None,
-               names_to: str = "kpi", values_to: str = "value") -> DataFrame:
+               names_to: str = "kpi", values_to: str = "value",
+               name: str | None = None) -> DataFrame:
     """Monthly series of one or many KPIs in long form, ordered by entity and
-    date; values outside ``[lo, hi]`` become NULL (axis limits)."""
-    long = to_long(df, [by, date], as_list(kpis), names_to, values_to)
+    date; values outside ``[lo, hi]`` become NULL (axis limits). ``kpis`` are
+    column names, a Column expression (labelled ``name``) or a mapping of labels
+    to either."""
+    columns = _named_values(kpis, name)
+    wide = df.select(by, date, *[c.alias(n) for n, c in columns.items()])
+    long = to_long(wide, [by, date], list(columns), names_to, values_to)
     if lo is not None and hi is not None:
         long = range_censor(long, values_to, lo, hi)
     return long.orderBy(by, names_to, date)
@@ -49,7 +61,18 @@ def kpi_surveys(df: DataFrame, value, by: str = "adm0", date: str = "date",
     midline, endline), censored to ``[lo, hi]``."""
     v, n = _value(value, name)
     present = df.select(by, date, v.alias(n)).filter(F.col(n).isNotNull())
-    return range_censor(number_within(present, by, date, "survey"), n, lo, hi)
+    # a panel has one row per entity and date
+    return range_censor(number_within(present, by, date, "survey", bounded=True), n, lo, hi)
+
+
+def kpi_latest(df: DataFrame, value, by: str = "adm0", date: str = "date",
+               name: str | None = None) -> DataFrame:
+    """Latest present value per entity with its label as the value reads
+    (``45.7%``): the chart with one part per entity and no remainder."""
+    v, n = _value(value, name)
+    latest = last_present(df.select(by, date, v.alias(n)), by, date, n)
+    return latest.withColumns({"label": percent_label(n),
+                               "label_pos": F.col(n) / F.lit(2.0)})
 
 
 def kpi_latest_share(df: DataFrame, value, by: str = "adm0", date: str = "date",
@@ -78,19 +101,18 @@ def kpi_density(df: DataFrame, n: str, d: str, by: str = "adm0", date: str = "da
                 per: float = 1000.0, lo: float = 0.0, hi: float = 15.0,
                 name: str = "density") -> DataFrame:
     """Rate per 1,000 on rows where it can be computed, censored to ``[lo, hi]``."""
-    rate = F.try_divide(to_col(n).cast("double"), to_col(d).cast("double")) * F.lit(float(per))
+    rate = per_thousand(n, d) * F.lit(float(per) / 1000.0)
     present = df.select(by, date, rate.alias(name)).filter(F.col(name).isNotNull())
     return range_censor(present, name, lo, hi)
 
 
-def kpi_achieved_vs_target(df: DataFrame, achieved: str, target: str, by: str = "adm0",
+def kpi_achieved_vs_target(df: DataFrame, achieved, target, by: str = "adm0",
                            date: str = "date", digits: int = 0) -> DataFrame:
-    """Achieved against target where the achievement is reported, with the
-    whole-number percentage of target reached."""
-    present = df.filter(F.col(achieved).isNotNull())
-    return present.select(by, date, F.col(achieved).alias("achieved"),
-                          F.col(target).alias("target"),
-                          percent_of(achieved, target, digits).alias("pct_achieved"))
+    """Achieved against target (column names or Columns) where the achievement is
+    reported, with the whole-number percentage of target reached."""
+    wide = df.select(by, date, to_col(achieved).alias("achieved"), to_col(target).alias("target"))
+    return wide.filter(F.col("achieved").isNotNull()).withColumn(
+        "pct_achieved", percent_of("achieved", "target", digits))
 
 
 def kpi_trained_vs_target(df: DataFrame, clinical: str, nonclinical: str,
@@ -122,7 +144,8 @@ def complete_panel(df: DataFrame, entity: str, period: str, values,
 
     ``df`` is an aggregate with one row per (entity, period). It is read three
     times (entities, period range, values), so by default it is checkpointed
-    once to the session's checkpoint folder. The grid is a per-entity
+    once to the session's checkpoint folder: a job that runs when this function
+    is called, not when its result is used. The grid is a per-entity
     ``explode(sequence)``: no join builds the product.
     """
     from kpiframe.session import shared_dir
@@ -140,5 +163,5 @@ def complete_panel(df: DataFrame, entity: str, period: str, values,
 
 def annotate_kpis(results: DataFrame, dictionary: DataFrame, key: str = "kpi") -> DataFrame:
     """KPI results in long form with the dictionary's description and
-    disaggregation (the dictionary is a small fixed table: broadcast)."""
-    return results.join(F.broadcast(dictionary), key, "left")
+    disaggregation (Spark broadcasts the dictionary as long as it is small)."""
+    return results.join(dictionary, key, "left")

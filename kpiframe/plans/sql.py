@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 FACILITY_MONTH = """
-fm AS (
+fm AS MATERIALIZED (
   SELECT r.r_name AS province, n.n_name AS district, s.s_name AS facility,
          CAST(date_trunc('month', l.l_shipdate) AS DATE) AS period,
          strftime(CAST(date_trunc('month', l.l_shipdate) AS DATE), '%B %Y') AS periodname,
@@ -64,12 +64,13 @@ kp AS (
 # the six case-count columns of fm, in long form with nulls kept
 FM_COUNTS_LONG = """
 fm_counts AS (
-  SELECT district, facility, period, periodname, 'diarrhoea_5_female' AS stat, diarrhoea_5_female AS value FROM fm
-  UNION ALL SELECT district, facility, period, periodname, 'pneumonia_male_5', pneumonia_male_5 FROM fm
-  UNION ALL SELECT district, facility, period, periodname, 'malaria_treated_5yrs', malaria_treated_5yrs FROM fm
-  UNION ALL SELECT district, facility, period, periodname, 'diarrhoea_referred_5_female', diarrhoea_referred_5_female FROM fm
-  UNION ALL SELECT district, facility, period, periodname, 'pneumonia_referred_male_5', pneumonia_referred_male_5 FROM fm
-  UNION ALL SELECT district, facility, period, periodname, 'malaria_referred_5yrs', malaria_referred_5yrs FROM fm
+  SELECT district, facility, period, periodname, stat, value
+  FROM (SELECT district, facility, period, periodname, diarrhoea_5_female, pneumonia_male_5,
+               malaria_treated_5yrs, diarrhoea_referred_5_female, pneumonia_referred_male_5,
+               malaria_referred_5yrs FROM fm)
+  UNPIVOT INCLUDE NULLS (value FOR stat IN (diarrhoea_5_female, pneumonia_male_5,
+    malaria_treated_5yrs, diarrhoea_referred_5_female, pneumonia_referred_male_5,
+    malaria_referred_5yrs))
 )"""
 
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
+import re
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
 # Settings every query relies on. AQE re-plans joins and partition counts at
@@ -79,35 +84,57 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+_scratch: list[str] = []
+
+
+def _delete(path: str) -> None:
+    """Delete a folder through Hadoop's file system (any store Spark can write)."""
+    jvm = SparkContext._jvm
+    if jvm is not None:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        sc = SparkContext._active_spark_context
+        conf = sc._jsc.hadoopConfiguration() if sc else jvm.org.apache.hadoop.conf.Configuration()
+        where.getFileSystem(conf).delete(where, True)
+
+
+@atexit.register
+def remove_scratch() -> None:
+    """Remove what ``scratch_path`` handed out (and a local checkpoint folder of our own);
+    runs when the driver's Python ends, and may be called when results are no longer read."""
+    while _scratch:
+        path = _scratch.pop()
+        with contextlib.suppress(Py4JError, OSError):  # the JVM may be gone already
+            _delete(path)
+
+
+def _is_local(spark: SparkSession) -> bool:
+    return re.match(r"local(\[|$)", spark.sparkContext.master) is not None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-shared folder named by ``spark.checkpoint.dir``.
 
-    The setting is read from the session. Only when it is unset (local tests)
-    is a fresh local folder created and registered as the checkpoint dir.
+    The setting is read from the session. Where it is unset, a local master
+    (one machine: tests) gets a fresh folder of its own, which is registered as
+    the checkpoint dir and removed at the end; on a cluster that folder would be
+    another one on each machine, so an unset setting is an error there.
     """
     sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not path:
+        if not _is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        path = tempfile.mkdtemp(prefix="kpiframe-ckpt-")
+        _scratch.append(path)
     if not sc.getCheckpointDir():
-        # DataFrame.checkpoint() needs the context's folder: register the
-        # session setting, or (unset: local runs only) a fresh folder
-        if not path:
-            path = tempfile.mkdtemp(prefix="kpiframe-ckpt-")
+        # DataFrame.checkpoint() needs the context's folder
         sc.setCheckpointDir(path)
-    if not path:
-        path = sc.getCheckpointDir()
     return path.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unique location under the shared folder for one job's output."""
-    base = shared_dir(spark)
-    return f"{base}/kpiframe/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme so Python file APIs can inspect a local path."""
-    if path.startswith("file:"):
-        path = path[5:]
-        while path.startswith("//"):
-            path = path[1:]
-    return os.path.abspath(path)
+    """A new, unique location under the shared folder for one job's output; removed
+    at the end (``remove_scratch``)."""
+    path = f"{shared_dir(spark)}/kpiframe/{name}-{uuid.uuid4().hex[:12]}"
+    _scratch.append(path)
+    return path

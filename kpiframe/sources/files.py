@@ -13,10 +13,15 @@ from pyspark.sql.types import StructType
 
 def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None,
                fmt: str = "csv", **options) -> DataFrame:
-    """One table from CSV (header row) or Parquet."""
+    """One table from CSV (header row) or Parquet.
+
+    A CSV file whose header differs from the schema (other names, another order) is an
+    error, not a table with swapped columns, and so is a value that does not parse as its
+    column's type; ``options`` override both (``enforceSchema``, ``mode``).
+    """
     if fmt == "csv":
         reader = spark.read.option("header", "true")
-        for k, v in options.items():
+        for k, v in {"enforceSchema": "false", "mode": "FAILFAST", **options}.items():
             reader = reader.option(k, v)
         if schema is None:
             raise ValueError("read_table: CSV needs an explicit schema")

@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kpiframe.functions.arithmetic import round_even
 from kpiframe.functions.util import as_list
 
 
@@ -31,43 +32,55 @@ def panel_grid(entities: DataFrame, start, end, months: int = 1,
     return entities.select("*", F.explode(seq).alias(period_col))
 
 
-_TWO_POW_53 = float(2 ** 53)
+_HEX_DIGITS = 13
 
 
 def uniform(seed: int, stream: int, keys) -> Column:
-    """A uniform number in (0, 1) from a 64-bit hash of ``keys``: the same key
-    gives the same number on any partitioning or retry."""
-    h = F.xxhash64(F.lit(int(seed)), F.lit(int(stream)), *[F.col(k) for k in as_list(keys)])
-    return (F.shiftrightunsigned(h, 11).cast("double") + F.lit(0.5)) / F.lit(_TWO_POW_53)
+    """A uniform number in (0, 1) from the MD5 of ``keys`` (52 bits of it): the same
+    key gives the same number on any partitioning or retry, and in any engine."""
+    text = F.concat_ws("|", F.lit(str(int(seed))), F.lit(str(int(stream))),
+                       *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in as_list(keys)])
+    h = F.conv(F.substring(F.md5(text.cast("binary")), 1, _HEX_DIGITS), 16, 10).cast("double")
+    return (h + F.lit(0.5)) / F.lit(float(16 ** _HEX_DIGITS))
 
 
-def poisson_from_uniform(u: Column, lam: float, tail: float = 1e-15) -> Column:
-    """Inverse-CDF Poisson draw: the first ``k`` with ``P(X <= k) >= u``.
+MAX_LAM = 200.0
 
-    The CDF thresholds are built from ``lam`` (not stored), and the chain ends
-    where the remaining tail is below ``tail``.
-    """
-    k, p, cdf = 0, math.exp(-lam), 0.0
-    expr = None
-    while True:
+
+def poisson_thresholds(lam: float) -> list[float]:
+    """``P(X <= k)`` for k = 0, 1, ... until what is left is below double precision.
+    ``lam`` is at most 200: beyond that the expression grows too long to compile."""
+    if not 0 <= lam <= MAX_LAM:
+        raise ValueError(f"poisson: lam must be in [0, {MAX_LAM:g}]")
+    k, p = 0, math.exp(-lam)
+    out, cdf = [], 0.0
+    while k <= lam or p > 1e-18:
         cdf += p
-        cond = u <= F.lit(cdf)
-        expr = F.when(cond, F.lit(k)) if expr is None else expr.when(cond, F.lit(k))
-        if 1.0 - cdf < tail or k > 10 * lam + 50:
-            break
+        out.append(cdf)
         k += 1
-        p = p * lam / k
-    return expr.otherwise(F.lit(k + 1))
+        p *= lam / k
+    return out
+
+
+def poisson_from_uniform(u: Column, lam: float) -> Column:
+    """Inverse-CDF Poisson draw: the first ``k`` with ``P(X <= k) >= u``, from
+    thresholds that are built from ``lam`` (not stored)."""
+    thresholds = poisson_thresholds(lam)
+    expr = F.when(u <= F.lit(thresholds[0]), F.lit(0))
+    for k, cdf in enumerate(thresholds[1:], 1):
+        expr = expr.when(u <= F.lit(cdf), F.lit(k))
+    return expr.otherwise(F.lit(len(thresholds)))
 
 
-def demo_sample(df: DataFrame, keys, seed: int = 123, lam: float = 5.0) -> DataFrame:
-    """One sample row per input row: ``x, y ~ Normal(0, 1)`` (Box-Muller) and
-    ``z ~ Poisson(lam)``, seeded by ``seed`` and the row's key columns."""
+def demo_sample(df: DataFrame, keys, seed: int = 123, lam: float = 5.0,
+                digits: int = 6) -> DataFrame:
+    """One sample row per input row: ``x, y ~ Normal(0, 1)`` (Box-Muller, rounded to
+    ``digits``) and ``z ~ Poisson(lam)``, seeded by ``seed`` and the row's key columns."""
     keys = as_list(keys)
     u1, u2, u3 = uniform(seed, 1, keys), uniform(seed, 2, keys), uniform(seed, 3, keys)
     r = F.sqrt(F.lit(-2.0) * F.log(u1))
     theta = F.lit(2.0 * math.pi) * u2
     return df.select(*keys,
-                     (r * F.cos(theta)).alias("x"),
-                     (r * F.sin(theta)).alias("y"),
+                     round_even(r * F.cos(theta), digits).alias("x"),
+                     round_even(r * F.sin(theta), digits).alias("y"),
                      poisson_from_uniform(u3, lam).cast("int").alias("z"))

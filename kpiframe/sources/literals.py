@@ -31,6 +31,18 @@ KPI_DICTIONARY_ROWS = [
     ("RHCC18", "% of caregivers who know two or more signs of childhood illness that require immediate assessment and, if appropriate, treatment", ""),
 ]
 
+# The rows in which the main page's dictionary differs (it has no
+# RHCC1.1, other texts for RHCC11 and RHCC12, and disaggregates these two only).
+MAIN_PAGE_DESCRIPTIONS = {
+    "RHCC11": "% of iCCM sites/outreach posts with no stock-outs of key iCCM medicines and diagnostics in the past month",
+    "RHCC12": "% of CHWs who had no stock-outs of commodities during the reporting period",
+}
+MAIN_PAGE_DISAGGREGATION = {"RHCC11": "disease", "RHCC12": "disease"}
+MAIN_PAGE_DICTIONARY_ROWS = [
+    (kpi, MAIN_PAGE_DESCRIPTIONS.get(kpi, text), MAIN_PAGE_DISAGGREGATION.get(kpi, ""))
+    for kpi, text, _ in KPI_DICTIONARY_ROWS if kpi != "RHCC1.1"
+]
+
 # District CHW training targets of the main page (first match
 # wins) and the national total, which is an input of its own (it is not the
 # sum of the district targets).
@@ -43,7 +55,7 @@ CHW_DISTRICT_TARGETS = [
 ]
 CHW_NATIONAL_TARGET = 2086.0
 
-# Facility names that are aggregate levels (ministry, province, district)
+# Facility names that are aggregate levels (ministry, province, district)
 # and must not be counted as facilities.
 AGGREGATE_UNIT_NAMES = [
     "zm Zambia Ministry of Health",
@@ -54,6 +66,8 @@ AGGREGATE_UNIT_NAMES = [
 ]
 
 
-def kpi_dictionary(spark: SparkSession) -> DataFrame:
-    """The KPI dictionary as a 20-row table (small and fixed: safe to broadcast)."""
-    return spark.createDataFrame(KPI_DICTIONARY_ROWS, KPI_DICTIONARY_SCHEMA)
+def kpi_dictionary(spark: SparkSession, page: str = "countries") -> DataFrame:
+    """The KPI dictionary of the multi-country page (20 rows) or of the ``"main"``
+    page (19 rows)."""
+    rows = {"countries": KPI_DICTIONARY_ROWS, "main": MAIN_PAGE_DICTIONARY_ROWS}[page]
+    return spark.createDataFrame(rows, KPI_DICTIONARY_SCHEMA)

@@ -3,7 +3,8 @@
 The dashboards re-read a file when a button is pressed (or every 30 s). Here
 that is a Structured Streaming file source: each refresh processes only the
 files that arrived since the previous one (tracked in the checkpoint), keeps
-the running aggregate in the state store, and rewrites the complete result.
+the running aggregate in the state store, and writes the complete result to a new
+folder. A pointer file then names that folder, so a reader always sees a whole result.
 
 * ``refresh_once``: ``trigger(availableNow=True)`` — process what is there, stop.
 * ``refresh_every``: ``trigger(processingTime=...)`` — keep polling.
@@ -14,6 +15,7 @@ session's ``spark.checkpoint.dir``), never on one machine's local disk.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,11 +23,56 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 
-def _overwrite(output_path: str, fmt: str):
+POINTER = "_current"
+KEPT = 2
+
+
+def _files(spark: SparkSession):
+    """Hadoop's file system classes: any store that Spark can write."""
+    return spark._jvm.org.apache.hadoop.fs
+
+
+def _publish(spark: SparkSession, output_path: str, version: str) -> None:
+    """Make ``version`` the current result: a new pointer file replaces the old one in
+    one rename. Versions before the last ``KEPT`` go; a reader that has just resolved
+    the pointer still finds its files."""
+    fs = _files(spark)
+    conf = spark._jsc.hadoopConfiguration()
+    root = fs.Path(output_path)
+    store = root.getFileSystem(conf)
+    draft = fs.Path(root, f"{POINTER}.{uuid.uuid4().hex}")
+    out = store.create(draft, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    replace = spark._sc._gateway.new_array(fs.Options.Rename, 1)
+    replace[0] = fs.Options.Rename.OVERWRITE
+    context = fs.FileContext.getFileContext(store.getUri(), conf)
+    context.rename(store.makeQualified(draft), store.makeQualified(fs.Path(root, POINTER)), replace)
+    versions = sorted((s.getModificationTime(), s.getPath().getName())
+                      for s in store.listStatus(root)
+                      if s.isDirectory() and s.getPath().getName().startswith("version-"))
+    for _, old in versions[:-KEPT]:
+        if old != version:
+            store.delete(fs.Path(root, old), True)
+
+
+def read_current(spark: SparkSession, output_path: str, fmt: str = "parquet") -> DataFrame:
+    """The result that the last finished refresh wrote."""
+    fs = _files(spark)
+    pointer = fs.Path(output_path, POINTER)
+    stream = pointer.getFileSystem(spark._jsc.hadoopConfiguration()).open(pointer)
+    version = bytes(stream.readAllBytes()).decode()
+    stream.close()
+    return spark.read.format(fmt).load(f"{output_path}/{version}")
+
+
+def _new_version(output_path: str, fmt: str):
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        # complete mode hands over the whole result; overwriting keeps a
-        # replayed epoch idempotent
-        batch.write.mode("overwrite").format(fmt).save(output_path)
+        # complete mode hands over the whole result; a replayed epoch or a failed write
+        # leaves the current version as it is
+        version = f"version-{epoch_id:012d}-{uuid.uuid4().hex[:8]}"
+        batch.write.format(fmt).save(f"{output_path}/{version}")
+        _publish(batch.sparkSession, output_path, version)
     return write_batch
 
 
@@ -39,7 +86,7 @@ def _start(spark: SparkSession, source: str, schema: StructType | str,
     result = transform(stream)
     return (result.writeStream.outputMode("complete")
             .option("checkpointLocation", checkpoint)
-            .foreachBatch(_overwrite(output_path, out_fmt))
+            .foreachBatch(_new_version(output_path, out_fmt))
             .trigger(**trigger)
             .start())
 
@@ -49,7 +96,8 @@ def refresh_once(spark: SparkSession, source: str, schema: StructType | str,
                  checkpoint: str, fmt: str = "parquet", out_fmt: str = "parquet",
                  max_files: int | None = None, timeout_s: float | None = None) -> DataFrame:
     """Fold every file that arrived since the last refresh into the aggregate,
-    write the complete result to ``output_path`` and return it (lazily read)."""
+    write the complete result as the current version under ``output_path`` and return
+    it (lazily read; ``read_current`` reads it later)."""
     q = _start(spark, source, schema, transform, output_path, checkpoint, fmt, out_fmt,
                {"availableNow": True}, max_files)
     finished = q.awaitTermination(timeout_s) if timeout_s else q.awaitTermination()
@@ -58,14 +106,15 @@ def refresh_once(spark: SparkSession, source: str, schema: StructType | str,
         raise TimeoutError("refresh_once: stream did not finish in time")
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return spark.read.format(out_fmt).load(output_path)
+    return read_current(spark, output_path, out_fmt)
 
 
 def refresh_every(spark: SparkSession, source: str, schema: StructType | str,
                   transform: Callable[[DataFrame], DataFrame], output_path: str,
                   checkpoint: str, interval: str = "30 seconds", fmt: str = "parquet",
                   out_fmt: str = "parquet") -> StreamingQuery:
-    """Poll ``source`` every ``interval`` and keep ``output_path`` current.
-    Returns the running query; the caller stops it."""
+    """Poll ``source`` every ``interval`` and keep the current version under
+    ``output_path`` up to date (``read_current``). Returns the running query; the caller
+    stops it."""
     return _start(spark, source, schema, transform, output_path, checkpoint, fmt, out_fmt,
                   {"processingTime": interval}, None)

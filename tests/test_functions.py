@@ -94,14 +94,6 @@ def test_row_sum_complement_per_thousand(spark):
     assert abs(r[3] - 2.2222222) < 1e-6
 
 
-def test_rules_from_table_orders_and_bounds(spark):
-    import pytest
-
-    t = spark.createDataFrame([("Chisamba", 346.0, 2), ("Kasama", 747.0, 1)],
-                              "pattern string, target double, priority int")
-    rules = X.rules_from_table(t)
-    assert rules == [("Kasama", 747.0), ("Chisamba", 346.0)]
-    df = spark.createDataFrame([("Kasama Chisamba",), ("x",)], "d string")
-    assert [r[0] for r in df.select(X.lookup_by_pattern("d", rules)).collect()] == [747.0, None]
-    with pytest.raises(ValueError):
-        X.rules_from_table(t, max_rules=1)
+def test_percent_label_keeps_decimals(spark):
+    df = spark.createDataFrame([(45.7,), (100.0,), (0.25,)], "p double")
+    assert [r[0] for r in df.select(X.percent_label("p")).collect()] == ["45.7%", "100%", "0.25%"]

@@ -159,3 +159,24 @@ def test_complete_panel_keeps_gaps(spark):
     assert out == [("D1", dt.date(2025, 6, 1), 3.0), ("D1", dt.date(2025, 7, 1), None),
                    ("D1", dt.date(2025, 8, 1), 5.0), ("D2", dt.date(2025, 6, 1), None),
                    ("D2", dt.date(2025, 7, 1), 1.0), ("D2", dt.date(2025, 8, 1), None)]
+
+
+def test_district_called_like_the_national_label(spark):
+    base = spark.createDataFrame([("P", "National", 3.0, 2.0), ("P", "Kasama", 1.0, 0.0)],
+                                 "province string, district string, male_chws_trained double, "
+                                 "female_chws_trained double")
+    out = K.target_reached(base, [("National", 10.0), ("Kasama", 2.0)], 100.0)
+    got = sorted((r.district, r.chws_trained, r.target_chws) for r in out.collect())
+    assert got == [("Kasama", 1.0, 2.0), ("National", 5.0, 10.0), ("National", 6.0, 100.0)]
+
+
+def test_panel_helpers_take_expressions(panel):
+    rate = F.col("rhcc5_n") / F.col("rhcc5_d") * 1000
+    series = P.kpi_series(panel, rate, name="density").filter("value is not null").collect()
+    assert [(r.adm0, r.kpi, round(r.value, 4)) for r in series][0] == ("DRC", "density", 2.2222)
+    both = P.kpi_series(panel, {"density": rate, "rhcc6": "rhcc6"})
+    assert {r.kpi for r in both.collect()} == {"density", "rhcc6"}
+    done = P.kpi_achieved_vs_target(panel, F.col("rhcc3_clinical") / 2, "target_clinical").collect()
+    assert {r.adm0: r.achieved for r in done}["DRC"] == 925.0
+    latest = {r.adm0: (r.rhcc16, r.label) for r in P.kpi_latest(panel, "rhcc16").collect()}
+    assert latest["DRC"] == (60.0, "60%")

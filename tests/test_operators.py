@@ -233,3 +233,52 @@ def test_histogram_single_bin(spark):
     df = spark.createDataFrame([(2.0,), (5.0,), (9.0,)], "z double")
     h = O.histogram(df, "z", 1).collect()
     assert [(r.bin, r.lower, r.upper, r["count"]) for r in h] == [(1, 2.0, 9.0, 3)]
+
+
+def test_number_within_splits_a_hot_group(spark):
+    df = spark.range(5000).select(F.when(F.col("id") % 3 == 0, F.col("id") % 7).alias("g"),
+                                  (F.col("id") % 11).alias("t"), F.col("id").alias("u"))
+    split = O.number_within(df, "g", ["t", "u"], "rn")
+    plain = O.number_within(df, "g", ["t", "u"], "rn", bounded=True)
+    assert sorted(split.collect(), key=str) == sorted(plain.collect(), key=str)
+
+
+def test_with_total_key_types_and_flag(spark):
+    df = spark.createDataFrame([(1, 2.0), (1, 3.0), (None, 5.0)], "k int, v double")
+    out = {(r.k, r.s, r.total) for r in O.with_total(df, "k", {"s": F.sum("v")}, flag="total").collect()}
+    assert out == {("1", 5.0, False), (None, 5.0, False), ("Total", 10.0, True)}
+    summed = {(r.k, r.s) for r in O.with_total_sum(df, "k", {"s": F.sum("v")}).collect()}
+    assert summed == {("1", 5.0), (None, 5.0), ("Total", 10.0)}
+
+
+def test_exclude_nothing_still_drops_missing(spark):
+    df = spark.createDataFrame([("a",), (None,)], "u string")
+    assert [r.u for r in O.exclude_values(df, "u", ()).collect()] == ["a"]
+
+
+def test_histogram_leaves_out_non_finite(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(0.0,), (1.0,), (2.0,), (nan,), (inf,), (-inf,), (None,)], "x double")
+    got = [(r.bin, r.lower, r.upper, r["count"]) for r in O.histogram(df, "x", 3).orderBy("bin").collect()]
+    assert got == [(1, -0.5, 0.5, 1), (2, 0.5, 1.5, 1), (3, 1.5, 2.5, 1)]
+
+
+def test_lookup_by_rules_first_match_any_size(spark, monkeypatch):
+    from kpiframe.operators import joins
+
+    monkeypatch.setattr(joins, "RULES_PER_BLOCK", 2)
+    rules = spark.createDataFrame(
+        [("Chisamba", 346.0, 2), ("Kasama", 747.0, 1), ("x{3}", 9.0, 5), ("^C", 1.0, 7), (None, 0.0, 0)],
+        "pattern string, target double, priority int")
+    df = spark.createDataFrame([("Kasama Chisamba",), ("Chongwe",), ("Chisamba",), ("none",), (None,)],
+                               "d string")
+    out = {r.d: r.t for r in O.lookup_by_rules(df, "d", rules, "t").collect()}
+    assert out == {"Kasama Chisamba": 747.0, "Chongwe": 1.0, "Chisamba": 346.0, "none": None, None: None}
+    empty = O.lookup_by_rules(df, "d", rules.limit(0), "t").collect()
+    assert len(empty) == 5 and all(r.t is None for r in empty)
+
+
+def test_level_number(spark):
+    df = spark.createDataFrame([("b",), ("a",), (None,), ("b",)], "c string")
+    assert sorted((r.c or "", r.level) for r in O.level_number(df, "c").collect()) == [
+        ("", None), ("a", 1), ("b", 2), ("b", 2)]

@@ -6,14 +6,14 @@ import re
 
 import pytest
 
-import __spark_entry__ as E
+from kpiframe.plans.catalog import REGISTRY
 from tests.conftest import SF_SMALL
 from tools.plan_report import FORBIDDEN, plan_of
 
 
-@pytest.mark.parametrize("key", sorted(E.queries()))
+@pytest.mark.parametrize("key", sorted(REGISTRY))
 def test_no_cross_join_no_python(spark, key):
-    df = E.queries()[key](spark, SF_SMALL)
+    df = REGISTRY[key](spark, SF_SMALL)
     df.write.format("noop").mode("overwrite").save()
     plan = plan_of(df)
     assert not [f for f in FORBIDDEN if f in plan], plan
@@ -25,7 +25,7 @@ def _lineitem_read_schemas(plan: str) -> list[str]:
 
 
 def test_fact_scan_is_pruned(spark):
-    df = E.queries()["facility_month"](spark, SF_SMALL)
+    df = REGISTRY["facility_month"](spark, SF_SMALL)
     df.write.format("noop").mode("overwrite").save()
     schemas = _lineitem_read_schemas(plan_of(df))
     assert schemas, "lineitem scan not found"
@@ -35,7 +35,7 @@ def test_fact_scan_is_pruned(spark):
 
 
 def test_referral_is_join_free_single_scan(spark):
-    df = E.queries()["kpi_referral"](spark, SF_SMALL)
+    df = REGISTRY["kpi_referral"](spark, SF_SMALL)
     df.write.format("noop").mode("overwrite").save()
     plan = plan_of(df)
     assert "SortMergeJoin" not in plan
@@ -44,7 +44,7 @@ def test_referral_is_join_free_single_scan(spark):
 
 def test_pre_aggregation_before_join(spark):
     """lineitem is partially aggregated before any join or shuffle."""
-    df = E.queries()["facility_month"](spark, SF_SMALL)
+    df = REGISTRY["facility_month"](spark, SF_SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
     scan = plan.index("lineitem.parquet")
     partial = plan.rfind("partial_sum", 0, scan)

@@ -3,6 +3,7 @@
 import datetime as dt
 import os
 
+import pytest
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from kpiframe.session import scratch_path, shared_dir
 from kpiframe.sources import files as S
 from kpiframe.sources import generators as G
 from kpiframe.sources.literals import KPI_DICTIONARY_ROWS, kpi_dictionary
-from kpiframe.streaming import refresh_once
+from kpiframe.streaming import read_current, refresh_once
 
 SCHEMA = "district string, facility string, amoxyl double"
 
@@ -44,6 +45,10 @@ def test_kpi_dictionary(spark):
     assert d.count() == 20 == len(KPI_DICTIONARY_ROWS)
     dis = {r.kpi: r.disaggregation for r in d.collect()}
     assert dis["RHCC2"] == "disease" and dis["RHCC3"] == "cadre" and dis["RHCC15"] == ""
+    main = {r.kpi: r for r in kpi_dictionary(spark, "main").collect()}
+    assert len(main) == 19 and "RHCC1.1" not in main
+    assert main["RHCC2"].disaggregation == "" and main["RHCC12"].disaggregation == "disease"
+    assert "commodities" in main["RHCC12"].description
 
 
 def test_panel_grid_explodes_without_join(spark):
@@ -129,7 +134,7 @@ def test_refresh_every_polls(spark, tmp_path):
         q.processAllAvailable()
     finally:
         q.stop()
-    assert {r.district: r.n for r in spark.read.parquet(out).collect()} == {"K": 3}
+    assert {r.district: r.n for r in read_current(spark, out).collect()} == {"K": 3}
 
 
 def test_scale_conf_sizes_partitions():
@@ -183,3 +188,112 @@ def test_session_conf_layers():
     assert c["spark.sql.adaptive.advisoryPartitionSizeInBytes"] == str(128 * 1024 ** 2)
     assert c["spark.sql.adaptive.skewJoin.skewedPartitionFactor"] == "8"  # extra wins
     assert c["spark.sql.adaptive.enabled"] == "true"
+
+
+def _csv(folder, name, text):
+    folder.mkdir(parents=True, exist_ok=True)
+    (folder / name).write_text(text)
+
+
+def test_csv_columns_in_another_order_are_refused(spark, tmp_path):
+    _csv(tmp_path, "a.csv", "unit,zinc,ors\nA,1,2\n")
+    _csv(tmp_path, "b.csv", "unit,ors,zinc\nB,20,10\n")
+    schema = "unit string, zinc double, ors double"
+    good = S.read_table(spark, str(tmp_path / "a.csv"), schema).collect()
+    assert [tuple(r) for r in good] == [("A", 1.0, 2.0)]
+    with pytest.raises(Exception, match="(?i)header"):
+        S.read_many(spark, str(tmp_path / "*.csv"), schema).collect()
+
+
+def test_csv_bad_number_is_an_error(spark, tmp_path):
+    _csv(tmp_path, "a.csv", "unit,zinc\nA,abc\nB,\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        S.read_table(spark, str(tmp_path / "a.csv"), "unit string, zinc double").collect()
+    lenient = S.read_table(spark, str(tmp_path / "a.csv"), "unit string, zinc double",
+                           mode="PERMISSIVE").collect()
+    assert [tuple(r) for r in lenient] == [("A", None), ("B", None)]
+
+
+def test_ingest_district_from_file_name(spark, tmp_path):
+    from kpiframe.plans.ingest import facility_reports
+
+    for district, unit in (("Chisamba", "Fac A"), ("North Kasama", "Fac B")):
+        _csv(tmp_path / "csv", f"{district}_data_sept25.csv",
+             f"organisationunitname,periodname,Zinc\n{unit},July 2025,1\n,July 2025,2\n")
+    raw = "organisationunitname string, periodname string, Zinc double"
+    out = facility_reports(spark, str(tmp_path / "csv" / "*.csv"), raw, district_from="file")
+    assert sorted(map(tuple, out.collect())) == [
+        ("Chisamba", "Fac A", dt.date(2025, 7, 1), "July 2025", 1.0),
+        ("North Kasama", "Fac B", dt.date(2025, 7, 1), "July 2025", 1.0)]
+
+
+def test_ingest_district_from_folder_with_blank_and_missing(spark, tmp_path):
+    from kpiframe.plans.ingest import facility_reports
+
+    head = "Organisation unit name,Period Name,Zinc\n"
+    _csv(tmp_path / "North Kasama", "a.csv", head + "Fac A,July 2025,1\n")
+    _csv(tmp_path / "District=__HIVE_DEFAULT_PARTITION__", "a.csv", head + "Fac B,July 2025,2\n")
+    raw = "`Organisation unit name` string, `Period Name` string, Zinc double"
+    out = facility_reports(spark, str(tmp_path / "*" / "*.csv"), raw)
+    assert {(r.district, r.facility) for r in out.collect()} == {("North Kasama", "Fac A"),
+                                                                 (None, "Fac B")}
+
+
+def test_poisson_any_lam_in_range(spark):
+    keys = spark.range(20000).select(F.col("id").alias("k"))
+    for lam in (0.0, 0.5, 150.0):
+        m = G.demo_sample(keys, ["k"], lam=lam).agg(F.avg("z"), F.variance("z")).first()
+        assert abs(m[0] - lam) < 0.05 + lam / 100 and abs(m[1] - lam) < 0.05 + lam / 15
+    with pytest.raises(ValueError):
+        G.poisson_thresholds(800.0)
+
+
+def test_shared_dir_refuses_a_cluster_without_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from kpiframe import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    def fake(master):
+        sc = SimpleNamespace(master=master, getCheckpointDir=lambda: None,
+                             setCheckpointDir=lambda path: None)
+        return SimpleNamespace(conf=Conf(), sparkContext=sc)
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,512]"):
+        with pytest.raises(RuntimeError):
+            session.shared_dir(fake(master))
+    monkeypatch.setattr(session.tempfile, "mkdtemp", lambda prefix: "/tmp/unused")
+    assert session.shared_dir(fake("local[2]")) == "/tmp/unused"
+    session._scratch.remove("/tmp/unused")
+
+
+def test_scratch_is_removed(spark):
+    from kpiframe import session
+
+    mine, session._scratch[:] = list(session._scratch), []
+    path = scratch_path(spark, "t_gone")
+    spark.range(3).write.parquet(path)
+    assert os.path.isdir(path.removeprefix("file:"))
+    session.remove_scratch()
+    assert not os.path.exists(path.removeprefix("file:"))
+    session._scratch[:] = mine
+
+
+def test_reader_sees_a_whole_result_during_a_refresh(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    out, ckpt = str(tmp_path / "out"), str(tmp_path / "ckpt")
+
+    def agg(stream):
+        return stream.groupBy("district").agg(F.count(F.lit(1)).alias("n"))
+
+    _write(src, "a.parquet", [("K", "F1", 1.0)])
+    before = refresh_once(spark, str(src), SCHEMA, agg, out, ckpt)   # a reader that is still open
+    _write(src, "b.parquet", [("K", "F2", 1.0), ("C", "F3", 1.0)])
+    after = refresh_once(spark, str(src), SCHEMA, agg, out, ckpt)
+    assert {r.district: r.n for r in before.collect()} == {"K": 1}
+    assert {r.district: r.n for r in after.collect()} == {"K": 2, "C": 1}
+    assert {r.district: r.n for r in read_current(spark, out).collect()} == {"K": 2, "C": 1}
