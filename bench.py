@@ -53,6 +53,13 @@ def run_once(spark, key: str, sf_dir: str) -> float:
     return time.perf_counter() - t0
 
 
+def calibration() -> float:
+    """Seconds of a fixed loop: tells a slow host from a slow query."""
+    t0 = time.perf_counter()
+    sum(range(20_000_000))
+    return time.perf_counter() - t0
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
@@ -67,9 +74,11 @@ def main() -> None:
     for key in keys:  # warm-up pass: JIT, file listing, code generation
         run_once(spark, key, sf_dir)
     times: dict[str, float] = {}
+    loops = [calibration()]
     for key in keys:
         times[key] = round(statistics.median(run_once(spark, key, sf_dir)
                                              for _ in range(repeats)), 4)
+    loops.append(calibration())
     job_times = {}
     for key in jobs:
         run_once(spark, key, sf_dir)
@@ -82,6 +91,7 @@ def main() -> None:
         "unit": "sec",
         "queries": times,
         "jobs": job_times,
+        "calibration_loop_sec": [round(x, 4) for x in loops],
         "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf,
         "cpus": cpus,
         "repeats": repeats,
