@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kpiframe.llm.common import stored
+from kpiframe.llm.simhash import fingerprint, linked
 
 #: labelled rows per class that the index holds at most
 EXAMPLES = 2048
@@ -31,13 +32,15 @@ EXAMPLES = 2048
 #: leaves about no chance hit among the 50,000 terms of such a sample
 MIN_CHI2 = 24.0
 NEIGHBOURS = 16
-BLOCK = 64
+BLOCK = 32
+#: blocks that are scored before the bound is looked at again
+VISIT = 4
 #: lengths of the word beginnings that are terms as well (stems with changing endings)
 BEGINNINGS = (4, 5)
 #: votes that the base rate has against the neighbours'
 PRIOR_VOTES = 0.5
-#: words whose terms a task remembers
-REMEMBERED = 500_000
+#: words whose terms, and term counts whose neighbours, a task remembers
+REMEMBERED = 300_000
 
 #: ASCII characters that are neither letter nor digit nor apostrophe part words
 _PARTS = bytes(i if i > 127 or chr(i).isalnum() or i == 39 else 32 for i in range(256))
@@ -97,22 +100,32 @@ class Index:
         """The ``k`` most similar examples, ties by number, with similarity over 0."""
         if not len(terms):
             return []
-        blocks = self.bounds.shape[1]
         bound = weights @ self.bounds[terms]
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bound, kind="stable").tolist():
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        found, scores = np.zeros(0, np.int64), np.zeros(0)
+        for at in range(0, len(order), VISIT):
+            some = order[at:at + VISIT]
             # a hair of slack: the bound and the score are summed in different orders
-            if bound[block] <= 0 or len(best) == k and bound[block] + 1e-9 < best[-1][0]:
+            if len(scores) == k and bound[some[0]] + 1e-9 < scores[-1]:
                 break
-            score = np.zeros(BLOCK)
-            for term, weight in zip(terms.tolist(), weights.tolist()):
-                a, b = self.starts[term * blocks + block], self.starts[term * blocks + block + 1]
-                score[self.examples[a:b] - block * BLOCK] += weight * self.weights[a:b]
-            found = np.flatnonzero(score > 0)
-            best += [(s, e) for s, e in zip(score[found].tolist(), (found + block * BLOCK).tolist())
-                     if e != without]
-            best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
-        return best
+            e, s = self._scores(terms, weights, np.sort(some))
+            if without >= 0:
+                e, s = e[e != without], s[e != without]
+            found, scores = np.concatenate([found, e]), np.concatenate([scores, s])
+            best = np.lexsort((found, -scores))[:k]
+            found, scores = found[best], scores[best]
+        return list(zip(scores.tolist(), found.tolist()))
+
+    def _scores(self, terms, weights, blocks) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines) of the examples in ``blocks`` that share a term."""
+        cells = (terms[:, None] * self.bounds.shape[1] + blocks).ravel()
+        first, size = self.starts[cells], self.starts[cells + 1] - self.starts[cells]
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1]) + np.repeat(first - (ends - size), size)
+        weight = self.weights[at] * np.repeat(np.repeat(weights, len(blocks)), size)
+        examples, where = np.unique(self.examples[at], return_inverse=True)
+        return examples, np.bincount(where.reshape(-1), weights=weight)
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Share of toxic votes, each the inverse of its distance; the base rate votes too."""
@@ -161,11 +174,30 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def _distinct(rows: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(id, fp) of one example per label and component of near-equal SimHash fingerprints."""
+    fps = np.unique(np.array([fp for _, _, fp in rows], np.int64)).view(np.uint64)
+    root = {int(f): int(f) for f in fps}
+
+    def find(f: int) -> int:
+        while root[f] != f:
+            root[f] = f = root[root[f]]
+        return f
+
+    for a, b in linked(fps, None).tolist() if len(fps) else []:
+        root[find(a)] = find(b)
+    first: dict[tuple[int, int], tuple[int, int]] = {}
+    for i, label, fp in sorted(rows):
+        first.setdefault((label, find(fp % (1 << 64))), (i, fp))
+    return sorted(first.values())
+
+
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES,
         min_chi2: float = MIN_CHI2) -> Index | None:
     """The index of a sample of at most ``examples`` labelled rows per class, chosen by the
     hash of doc_id, without the held-out rows; None if a class has no example (then there is
-    nothing to learn). NULL labels and labels without a document are skipped; a document
+    nothing to learn). Of copies and near copies (SimHash, 4 bits) with one label one is
+    used. NULL labels and labels without a document are skipped; a document
     with two labels counts as toxic if one says so."""
     spark = docs.sparkSession
     known = (labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)
@@ -180,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES,
 
     def spell(batches):
         for batch in batches:
-            out = {"id": [], "label": [], "term": [], "tf": []}
+            out = {"id": [], "label": [], "fp": [], "term": [], "tf": []}
             for i, y, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "label", "text"))):
                 tf: Counter = Counter()
                 for word, k in Counter(words(t)).items():
@@ -188,17 +220,24 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES,
                         tf[term] += k
                 out["id"] += [i] * len(tf)
                 out["label"] += [y] * len(tf)
+                out["fp"] += [fingerprint((t or "").encode("utf-8", "replace"))] * len(tf)
                 out["term"] += tf.keys()
                 out["tf"] += tf.values()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out["id"], pa.int64()), pa.array(out["label"], pa.int32()),
+                 pa.array(np.array(out["fp"], np.uint64).view(np.int64)),
                  pa.array(out["term"], pa.binary()), pa.array(out["tf"], pa.int64())], list(out))
 
     # the sample is bounded by 2 * examples short rows; rows that share a doc_id are one example
     chosen = _rows(docs).join(F.broadcast(sample), F.col("doc_id") == F.col("l_id")) \
         .select("doc_id", "label", "text")
-    tf = stored(chosen.mapInArrow(spell, "id long, label int, term binary, tf long")
-                .groupBy("id", "label", "term").agg(F.sum("tf").alias("tf")), "toxic-terms")
+    tf = stored(chosen.mapInArrow(spell, "id long, label int, fp long, term binary, tf long")
+                .groupBy("id", "label", "fp", "term").agg(F.sum("tf").alias("tf")), "toxic-terms")
+    # copies and near copies count once, or their words would seem to tell the labels apart
+    tf = tf.join(F.broadcast(spark.createDataFrame(_distinct(
+        [tuple(r) for r in tf.select("id", "label", "fp").distinct().collect()]), "id long, fp long")),
+        ["id", "fp"]).groupBy("id", "label", "term").agg(F.sum("tf").alias("tf"))
+    tf = stored(tf, "toxic-examples")
     size = {r["label"]: r["n"] for r in tf.groupBy("label").agg(
         F.countDistinct("id").alias("n")).collect()}
     p, q = size.get(1, 0), size.get(0, 0)
@@ -208,9 +247,11 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES,
     stats = tf.groupBy("term").agg(a.cast("double").alias("a"), b.cast("double").alias("b"))
     # chi-square of the 2 x 2 table with Yates' correction
     cross = F.abs(F.col("a") * (q - F.col("b")) - F.col("b") * (p - F.col("a")))
+    # and only terms that speak for toxicity: those that speak against it are all other words
     chi2 = (p + q) * F.pow(F.greatest(F.lit(0.0), cross - (p + q) / 2), F.lit(2)) / (
         (F.col("a") + F.col("b")) * (p + q - F.col("a") - F.col("b")) * float(p) * float(q))
-    telling = stats.filter(F.col("a") + F.col("b") < p + q).filter(chi2 >= min_chi2).select("term")
+    telling = stats.filter(F.col("a") + F.col("b") < p + q).filter(
+        (chi2 >= min_chi2) & (F.col("a") * q > F.col("b") * p)).select("term")
     # bounded by the sample: at most all its postings, and few terms reach the threshold
     postings = tf.join(telling, "term").select("id", "label", "term", "tf").collect()
     ids = sorted({r["id"] for r in tf.select("id").distinct().collect()})
@@ -244,10 +285,14 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES,
             df[r["term"]] = r["n"]
     idf = np.log((1 + n_docs) / (1 + df)) + 1
 
-    at = {d: i for i, d in enumerate(ids)}
-    tfs: list[dict[int, int]] = [{} for _ in ids]
+    of_id: dict[int, dict[int, int]] = {d: {} for d in ids}
     for r in postings:
-        tfs[at[r["id"]]][terms[bytes(r["term"])]] = r["tf"]
+        of_id[r["id"]][terms[bytes(r["term"])]] = r["tf"]
+    # examples with the same strongest term stand together: their blocks have sharp bounds
+    strongest = {d: max(tf, key=lambda t: ((1 + math.log(tf[t])) * idf[t], -t), default=-1)
+                 for d, tf in of_id.items()}
+    ids.sort(key=lambda d: (strongest[d], d))
+    tfs = [of_id[d] for d in ids]
     blocks = -(-len(ids) // BLOCK)
     index = Index(terms, idf, np.zeros((len(terms), blocks)), None, None, None, np.array(ids),
                   np.array([label_of[d] for d in ids]), n1 / n)
@@ -264,12 +309,20 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES,
     return index
 
 
-def score_text(index: Index | None, text: str | None, memory: dict) -> tuple[float, list]:
-    """(score, neighbours) of one text; without an index the score is 0."""
+def score_text(index: Index | None, text: str | None, memory: tuple[dict, dict]) -> tuple[float, list]:
+    """(score, neighbours) of one text; without an index the score is 0. ``memory`` keeps
+    the terms of words and the results of term counts: copies are searched once."""
     if index is None:
         return 0.0, []
-    near = index.nearest(*index.vector(index.counts(words(text), memory)))
-    return index.score(index.vote(near)), near
+    words_, results = memory
+    counts = index.counts(words(text), words_)
+    key = tuple(sorted(counts.items()))
+    if key not in results:
+        near = index.nearest(*index.vector(counts))
+        if len(results) >= REMEMBERED // 10:
+            results.clear()
+        results[key] = index.score(index.vote(near)), near
+    return results[key]
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -285,7 +338,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
             "neighbours array<struct<doc_id: long, similarity: double, label: int>>")
 
     def run(batches):
-        model, memory = sent.value, {}
+        model, memory = sent.value, ({}, {})
         fields = [pa.field("doc_id", pa.int64()), pa.field("similarity", pa.float64()),
                   pa.field("label", pa.int32())]
         for batch in batches:
@@ -312,7 +365,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **options))
 
     def run(batches):
-        model, memory = sent.value, {}
+        model, memory = sent.value, ({}, {})
         for batch in batches:
             keep = [score_text(model, t.as_py(), memory)[0] < 0.5 for t in batch.column("text")]
             yield batch.filter(pa.array(keep, pa.bool_()))
