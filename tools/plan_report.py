@@ -69,7 +69,7 @@ def summarise(plan: str) -> dict:
 
 def main():
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    import __spark_entry__ as E
+    from kpiframe.plans.catalog import REGISTRY
 
     spark = get_session("local[8]", 8)
     print("# Physical plans of the registered queries\n")
@@ -79,7 +79,7 @@ def main():
           "Exchange (hash, range, single-partition for global aggregates).\n")
     print("| key | shuffles | broadcasts | SMJ | BHJ | windows | hash aggs | scans | forbidden |")
     print("| --- | --- | --- | --- | --- | --- | --- | --- | --- |")
-    for key, fn in E.queries().items():
+    for key, fn in REGISTRY.items():
         df = fn(spark, sf_dir)
         df.write.format("noop").mode("overwrite").save()
         s = summarise(plan_of(df))
