@@ -13,6 +13,7 @@ distance is passed over.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
 
@@ -188,7 +189,7 @@ class Matcher:
         return [(text, i, *found) for (text, i), found in sorted(best.items())]
 
 
-def _blocks(column) -> list[list[list[bytes]]]:
+def _blocks(column) -> Iterator[list[list[bytes]]]:
     """The texts' words, in runs of about WORDS_PER_BLOCK words."""
     run, size = [], 0
     for text in column:
@@ -202,21 +203,21 @@ def _blocks(column) -> list[list[list[bytes]]]:
         yield run
 
 
-def _passes(benchmark: DataFrame, limit: int) -> list[list[tuple[int | None, list[bytes]]]]:
-    """The items in blocks of at most ``limit`` words (or one item). Items without words match
-    nothing and are left out."""
-    out, size = [[]], 0
+def _passes(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int | None, list[bytes]]]]:
+    """The items in blocks of at most ``limit`` words (or one item); the driver holds one
+    block at a time. Items without words match nothing and are left out."""
+    block, size = [], 0
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
     for item, text in rows.toLocalIterator():
         ws = words(text)
-        if not ws:
-            continue
-        if out[-1] and size + len(ws) > limit:
-            out.append([])
-            size = 0
-        out[-1].append((item, ws))
-        size += len(ws)
-    return [x for x in out if x]
+        if block and size + len(ws) > limit:
+            yield block
+            block, size = [], 0
+        if ws:
+            block.append((item, ws))
+            size += len(ws)
+    if block:
+        yield block
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame,
