@@ -41,7 +41,7 @@ LEFT, RIGHT = LENGTH - K, LENGTH
 WIDTH = LEFT + RIGHT
 #: rows that a task sorts together, and distinct surroundings of one anchor that it sorts at most
 BLOCK_ROWS = 16_384
-HOT = 200_000
+HOT = 32_768
 #: bytes whose anchors are looked for at once
 PIECE = 1 << 19
 
