@@ -7,8 +7,6 @@ bytes lower-cases A-Z only).
 
 from __future__ import annotations
 
-import atexit
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,35 +17,15 @@ WHITE = " \t\n\x0b\x0c\r"
 #: one word, as a regular expression that Spark and RE2 read alike
 WORD = r"[^\x20\x09-\x0D]+"
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    """Delete one folder through Hadoop's file system (any store Spark can write)."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-@atexit.register
-def remove_scratch() -> None:
-    """Remove every table that ``stored`` wrote, as far as its session still runs."""
-    while _written:
-        spark, path = _written.pop()
-        sc = spark._sc
-        if sc is not None and sc._jsc is not None:
-            _remove(spark, path)
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a new folder under the cluster's shared folder and read it back.
 
-    Cuts lineage: a lost executor costs a reread, not a recomputation. The tables go
-    when the driver's Python ends.
+    Cuts lineage: a lost executor costs a reread, not a recomputation. ``session``
+    removes the folder when the driver's Python ends.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
