@@ -17,6 +17,7 @@ WHITE = " \t\n\x0b\x0c\r"
 #: one word, as a regular expression that Spark and RE2 read alike
 WORD = r"[^\x20\x09-\x0D]+"
 
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a new folder under the cluster's shared folder and read it back.
 

@@ -332,13 +332,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     A text without any telling term (NULL and empty ones too) has no neighbours and gets the
     calibrated base rate. If the labels hold one class only, every score is 0.
     """
-    index = fit(docs, labels, **options)
-    sent = docs.sparkSession.sparkContext.broadcast(index)
+    model = fit(docs, labels, **options)  # bounded: sent with the function
     kind = ("doc_id long, score double, "
             "neighbours array<struct<doc_id: long, similarity: double, label: int>>")
 
     def run(batches):
-        model, memory = sent.value, ({}, {})
+        memory: tuple[dict, dict] = ({}, {})
         fields = [pa.field("doc_id", pa.int64()), pa.field("similarity", pa.float64()),
                   pa.field("label", pa.int32())]
         for batch in batches:
@@ -362,10 +361,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows whose score is 0.5 or more; all columns stay as they are."""
-    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **options))
+    model = fit(docs, labels, **options)  # bounded: sent with the function
 
     def run(batches):
-        model, memory = sent.value, ({}, {})
+        memory: tuple[dict, dict] = ({}, {})
         for batch in batches:
             keep = [score_text(model, t.as_py(), memory)[0] < 0.5 for t in batch.column("text")]
             yield batch.filter(pa.array(keep, pa.bool_()))
