@@ -284,6 +284,16 @@ def test_copies_of_one_page_are_no_template(spark):
     assert {r.text for r in H.extract_text(pages(spark, rows)).collect()} == {"the only article"}
 
 
+@pytest.mark.parametrize("copies, others", [(40, 4), (200, 90)])
+def test_a_page_copied_often_is_no_template(spark, copies, others):
+    page = "<html><body><p>every page</p><p>article {0}</p><p>its end {0}</p></body></html>"
+    rows = [(i, "http://h.example/a", page.format("copied"), None, None) for i in range(copies)]
+    rows += [(1000 + i, "http://h.example/b", page.format(i), None, None) for i in range(others)]
+    got = {r.page_id: r.text for r in H.extract_text(pages(spark, rows).repartition(5)).collect()}
+    assert {got[i] for i in range(copies)} == {"article copied\nits end copied"}
+    assert all(got[1000 + i] == f"article {i}\nits end {i}" for i in range(others))
+
+
 def test_extraction_equals_a_plain_reading_of_the_test_pages(spark):
     from tests.conftest import SF_SMALL
 
