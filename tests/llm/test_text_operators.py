@@ -294,6 +294,16 @@ def test_a_page_copied_often_is_no_template(spark, copies, others):
     assert all(got[1000 + i] == f"article {i}\nits end {i}" for i in range(others))
 
 
+@pytest.mark.parametrize("block", [
+    "<div><a href='/'>Site name</a></div>", "<p><b>Subscribe now</b> to us</p>",
+    "<ul><li><span class=x>Item</span></li></ul>", "<p><span><b>deep</b></span></p>"])
+def test_template_blocks_that_begin_inline_go(spark, block):
+    page = f"outside<html><body>{block}<p><b>Own</b> {{0}}</p></body></html>"
+    rows = [(i, "http://h.example/", page.format(i), None, None) for i in range(12)]
+    got = {r.page_id: r.text for r in H.extract_text(pages(spark, rows)).collect()}
+    assert got == {i: f"Own {i}" for i in range(12)}
+
+
 def test_extraction_equals_a_plain_reading_of_the_test_pages(spark):
     from tests.conftest import SF_SMALL
 
