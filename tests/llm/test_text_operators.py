@@ -304,6 +304,14 @@ def test_template_blocks_that_begin_inline_go(spark, block):
     assert got == {i: f"Own {i}" for i in range(12)}
 
 
+def test_the_template_is_a_share_of_the_hosts_pages(spark):
+    page = "<html><body><p>{0}</p><p>own {1}</p></body></html>"
+    rows = [(i, f"http://{n}.example/", page.format("shared" if i < n else f"other {i}", i), None, None)
+            for n in (11, 12) for i in range(20)]
+    got = H.templates(pages(spark, rows)).collect()
+    assert [(r.t_host, len(r.boilerplate)) for r in got] == [("12.example", 1)]     # 60 % of 20
+
+
 def test_extraction_equals_a_plain_reading_of_the_test_pages(spark):
     from tests.conftest import SF_SMALL
 
