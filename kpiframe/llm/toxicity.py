@@ -1,7 +1,7 @@
 """Toxicity scores from the nearest labelled examples.
 
-Texts are TF-IDF vectors over the words and word beginnings that tell the labels apart. For
-each text the nearest labelled examples by exact cosine are found in an inverted index whose
+Texts are TF-IDF vectors over all words and word beginnings of the labelled examples; those
+that tell toxic examples from the others by chi-square weigh more. For each text the nearest labelled examples by exact cosine are found in an inverted index whose
 postings are cut into blocks of examples, each with the largest weight it holds per term:
 blocks are visited in order of the bound these give, until no bound can beat the k-th best.
 Distance-weighted votes of the neighbours, calibrated on left-out votes, are the score; the
@@ -20,6 +20,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,19 +30,21 @@ from kpiframe.llm.simhash import fingerprint, linked
 
 #: labelled rows per class that the index holds at most
 EXAMPLES = 2048
-#: a term is used if its chi-square against the labels reaches this: p below 1e-6, which
-#: leaves about no chance hit among the 50,000 terms of such a sample
+#: a term that speaks for toxicity weighs its chi-square against the labels if that reaches
+#: this (p below 1e-6: about no chance hit among the 50,000 terms of such a sample), else 1
 MIN_CHI2 = 24.0
 NEIGHBOURS = 16
 BLOCK = 32
-#: blocks that are scored before the bound is looked at again
+#: blocks that are scored before the bound is looked at again; then all that can still count
 VISIT = 4
+#: terms that one example in so many holds are kept as rows over all examples, not as postings
+COMMON = 8
 #: lengths of the word beginnings that are terms as well (stems with changing endings)
 BEGINNINGS = (4, 5)
 #: votes that the base rate has against the neighbours'
 PRIOR_VOTES = 0.5
-#: words whose terms, and term counts whose neighbours, a task remembers
-REMEMBERED = 300_000
+#: words whose terms, and texts whose neighbours, a task remembers
+REMEMBERED, REMEMBERED_TEXTS = 300_000, 10_000
 
 #: ASCII characters that are neither letter nor digit nor apostrophe part words
 _PARTS = bytes(i if i > 127 or chr(i).isalnum() or i == 39 else 32 for i in range(256))
@@ -59,16 +63,60 @@ def terms_of(word: bytes) -> list[bytes]:
     return [word] + [b"^" + chars[:n].encode() for n in BEGINNINGS if len(chars) > n]
 
 
+class Bounds:
+    """The largest weight per cell (term x block), of the cells that hold postings."""
+
+    def __init__(self, keys: np.ndarray, weights: np.ndarray, shape: tuple[int, int]):
+        """From the cell (term * blocks + block) and the weight of each posting, by cell."""
+        self.shape = shape
+        keys, first = np.unique(keys, return_index=True)
+        self.most = np.maximum.reduceat(weights, first) if len(keys) else weights
+        self.first = np.append(first, len(weights)).astype(np.int32)
+        self.block = (keys % shape[1]).astype(np.int32)
+        self.of_term = np.searchsorted(keys, np.arange(shape[0] + 1) * shape[1])
+
+
+class Starts:
+    """``starts[term * blocks + block]`` is the first posting of that cell or a later one."""
+
+    def __init__(self, bounds: Bounds):
+        self.bounds = bounds
+
+    def __getitem__(self, cell: int) -> int:
+        term, block = divmod(cell, self.bounds.shape[1])
+        a, b = self.bounds.of_term[term:term + 2] if term < self.bounds.shape[0] else (-1, -1)
+        return self.bounds.first[a + np.searchsorted(self.bounds.block[a:b], block)]
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (size[0] numbers), first[1], ..."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - size), size)
+
+
+def _best(scores: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` greatest scores over 0, ties by number."""
+    if len(scores) > k:
+        least = np.partition(scores, -k)[-k]
+        at = np.flatnonzero((scores >= least) & (scores > 0))
+    else:
+        at = np.flatnonzero(scores > 0)
+    return at[np.lexsort((at, -scores[at]))][:k]
+
+
 @dataclass
 class Index:
     """Unit vectors of the examples as block-wise postings, and what a score needs."""
 
     terms: dict[bytes, int]
     idf: np.ndarray
-    bounds: np.ndarray        # term x block: the largest weight
-    starts: np.ndarray        # term * blocks + block -> first posting
+    speaks: np.ndarray        # chi-square of the terms that tell toxic examples, else 1
+    bounds: Bounds
+    starts: Starts
     examples: np.ndarray      # of each posting
     weights: np.ndarray
+    row_of: np.ndarray        # of each term its row in ``common``, or -1
+    common: np.ndarray        # weights of the common terms in all examples
     ids: np.ndarray           # doc_id of each example
     labels: np.ndarray
     base_rate: float
@@ -91,7 +139,7 @@ class Index:
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         terms = np.array(sorted(counts), np.int64)
         tf = np.array([counts[t] for t in terms.tolist()], float)
-        weights = (1 + np.log(tf)) * self.idf[terms]
+        weights = (1 + np.log(tf)) * self.idf[terms] * self.speaks[terms]
         norm = math.sqrt(float(weights @ weights))
         return (terms, weights / norm) if norm > 0 else (terms[:0], weights[:0])
 
@@ -100,38 +148,48 @@ class Index:
         """The ``k`` most similar examples, ties by number, with similarity over 0."""
         if not len(terms):
             return []
-        bound = weights @ self.bounds[terms]
+        first = self.bounds.of_term[terms]
+        size = self.bounds.of_term[terms + 1] - first
+        cells, weight = _ranges(first, size), np.repeat(weights, size)
+        block = self.bounds.block[cells]
+        bound = np.bincount(block, weight * self.bounds.most[cells], self.bounds.shape[1])
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        found, scores = np.zeros(0, np.int64), np.zeros(0)
-        for at in range(0, len(order), VISIT):
-            some = order[at:at + VISIT]
-            # a hair of slack: the bound and the score are summed in different orders
-            if len(scores) == k and bound[some[0]] + 1e-9 < scores[-1]:
-                break
-            e, s = self._scores(terms, weights, np.sort(some))
+        wanted = np.zeros(self.bounds.shape[1], bool)
+        wanted[order[:VISIT]] = True
+        mine = wanted[block]
+        scores = self._scores(cells[mine], weight[mine])
+        if without >= 0:
+            scores[without] = 0
+        best = _best(scores, k)
+        # a hair of slack: the bound and the score are summed in different orders
+        least = scores[best[-1]] if len(best) == k else 0.0
+        wanted[order[VISIT:][bound[order[VISIT:]] + 1e-9 >= least]] = True
+        if wanted.sum() > VISIT:
+            row = self.row_of[terms]
+            some = row < 0
+            mine = np.repeat(some, size) & wanted[block]
+            scores = self._scores(cells[mine], weight[mine])
+            scores += weights[~some] @ self.common[row[~some]]
             if without >= 0:
-                e, s = e[e != without], s[e != without]
-            found, scores = np.concatenate([found, e]), np.concatenate([scores, s])
-            best = np.lexsort((found, -scores))[:k]
-            found, scores = found[best], scores[best]
-        return list(zip(scores.tolist(), found.tolist()))
-
-    def _scores(self, terms, weights, blocks) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the examples in ``blocks`` that share a term."""
-        cells = (terms[:, None] * self.bounds.shape[1] + blocks).ravel()
-        first, size = self.starts[cells], self.starts[cells + 1] - self.starts[cells]
-        ends = np.cumsum(size)
-        at = np.arange(ends[-1]) + np.repeat(first - (ends - size), size)
-        weight = self.weights[at] * np.repeat(np.repeat(weights, len(blocks)), size)
-        examples, where = np.unique(self.examples[at], return_inverse=True)
-        return examples, np.bincount(where.reshape(-1), weights=weight)
+                scores[without] = 0
+            best = _best(scores, k)
+        return list(zip(scores[best].tolist(), best.tolist()))
+
+    def _scores(self, cells: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Sums over the postings in ``cells`` per example; ``weights`` are the text's."""
+        first = self.bounds.first[cells]
+        size = self.bounds.first[cells + 1] - first
+        at = _ranges(first, size)
+        sums = np.bincount(self.examples[at], self.weights[at] * np.repeat(weights, size), len(self.ids))
+        return sums.astype(float)  # without postings they are integers
 
     def vote(self, near: list[tuple[float, int]]) -> float:
-        """Share of toxic votes, each the inverse of its distance; the base rate votes too."""
+        """Share of toxic votes, each the inverse square of its distance, so that a copy
+        outvotes texts that share common words; the base rate votes too."""
         total, toxic = PRIOR_VOTES, PRIOR_VOTES * self.base_rate
         for similarity, example in near:
-            weight = 1 / (0.1 + max(0.0, 1 - similarity))
+            weight = 1 / (0.1 + max(0.0, 1 - similarity)) ** 2
             total += weight
             toxic += weight * self.labels[example]
         return toxic / total
@@ -238,32 +296,36 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES,
         [tuple(r) for r in tf.select("id", "label", "fp").distinct().collect()]), "id long, fp long")),
         ["id", "fp"]).groupBy("id", "label", "term").agg(F.sum("tf").alias("tf"))
     tf = stored(tf, "toxic-examples")
-    size = {r["label"]: r["n"] for r in tf.groupBy("label").agg(
-        F.countDistinct("id").alias("n")).collect()}
-    p, q = size.get(1, 0), size.get(0, 0)
+    # bounded by the sample: all its postings, as columns
+    postings = tf.toArrow().combine_chunks()
+    ids_, label_, tf_ = (postings.column(c).to_numpy() for c in ("id", "label", "tf"))
+    label_of = dict(zip(ids_.tolist(), label_.tolist()))
+    p = sum(label_of.values())
+    q = len(label_of) - p
     if not p or not q:
         return None
-    a, b = F.sum("label"), F.sum(1 - F.col("label"))
-    stats = tf.groupBy("term").agg(a.cast("double").alias("a"), b.cast("double").alias("b"))
-    # chi-square of the 2 x 2 table with Yates' correction
-    cross = F.abs(F.col("a") * (q - F.col("b")) - F.col("b") * (p - F.col("a")))
-    # and only terms that speak for toxicity: those that speak against it are all other words
-    chi2 = (p + q) * F.pow(F.greatest(F.lit(0.0), cross - (p + q) / 2), F.lit(2)) / (
-        (F.col("a") + F.col("b")) * (p + q - F.col("a") - F.col("b")) * float(p) * float(q))
-    telling = stats.filter(F.col("a") + F.col("b") < p + q).filter(
-        (chi2 >= min_chi2) & (F.col("a") * q > F.col("b") * p)).select("term")
-    # bounded by the sample: at most all its postings, and few terms reach the threshold
-    postings = tf.join(telling, "term").select("id", "label", "term", "tf").collect()
-    ids = sorted({r["id"] for r in tf.select("id").distinct().collect()})
-    label_of = {r["id"]: r["label"] for r in tf.select("id", "label").distinct().collect()}
-    terms = {t: i for i, t in enumerate(sorted({bytes(r["term"]) for r in postings}))}
-    if not terms:
-        return None
+    coded = postings.column("term").combine_chunks().dictionary_encode()
+    if isinstance(coded, pa.ChunkedArray):
+        coded = coded.combine_chunks()
+    spelled = coded.dictionary.to_pylist()
+    rank = np.argsort(np.array(spelled, object))
+    number = np.empty(len(rank), np.int64)
+    number[rank] = np.arange(len(rank))
+    term_ = number[coded.indices.to_numpy()]
+    terms = {spelled[at]: i for i, at in enumerate(rank.tolist())}
+    del postings, coded, spelled, rank
+    a = np.bincount(term_, label_, len(terms))
+    b = np.bincount(term_, 1 - label_, len(terms))
+    # chi-square of the 2 x 2 table with Yates' correction, of terms that speak for toxicity:
+    # those that speak against it are all other words
+    cross = np.maximum(0, np.abs(a * (q - b) - b * (p - a)) - (p + q) / 2)
+    chi2 = (p + q) * cross ** 2 / np.maximum(1, (a + b) * (p + q - a - b)) / p / q
+    speaks = np.where((chi2 >= min_chi2) & (a * q > b * p), chi2, 1.0)
 
     sent = spark.sparkContext.broadcast(terms)
 
     def frequencies(batches):
-        index = Index(sent.value, *[None] * 7, 0.0)
+        index = Index(sent.value, *[None] * 10, 0.0)
         memory: dict = {}
         df = np.zeros(len(index.terms), np.int64)
         n_docs = 0
@@ -277,49 +339,71 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES,
 
     df = np.zeros(len(terms))
     n_docs = 0
-    for r in _rows(docs).select("text").mapInArrow(frequencies, "term long, n long") \
-            .groupBy("term").agg(F.sum("n").alias("n")).collect():
-        if r["term"] < 0:
-            n_docs = r["n"]
+    counted = _rows(docs).select("text").mapInArrow(frequencies, "term long, n long") \
+        .groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    for term, held in zip(counted.column("term").to_numpy(), counted.column("n").to_numpy()):
+        if term < 0:
+            n_docs = int(held)
         else:
-            df[r["term"]] = r["n"]
+            df[term] = held
     idf = np.log((1 + n_docs) / (1 + df)) + 1
 
-    of_id: dict[int, dict[int, int]] = {d: {} for d in ids}
-    for r in postings:
-        of_id[r["id"]][terms[bytes(r["term"])]] = r["tf"]
     # examples with the same strongest term stand together: their blocks have sharp bounds
-    strongest = {d: max(tf, key=lambda t: ((1 + math.log(tf[t])) * idf[t], -t), default=-1)
-                 for d, tf in of_id.items()}
-    ids.sort(key=lambda d: (strongest[d], d))
-    tfs = [of_id[d] for d in ids]
+    weight_ = (1 + np.log(tf_)) * idf[term_] * speaks[term_]
+    by = np.lexsort((term_, -weight_, ids_))
+    ids, at = np.unique(ids_[by], return_index=True)
+    place = np.lexsort((ids, term_[by][at]))
+    ids = ids[place]
+    index = Index(terms, idf, speaks, *[None] * 6, ids,
+                  np.array([label_of[d] for d in ids.tolist()]), n1 / n)
+    number = {d: i for i, d in enumerate(ids.tolist())}
+    of = np.array([number[d] for d in ids_.tolist()])
+    norm = np.sqrt(np.bincount(of, weight_ ** 2, len(ids)))
+    order = np.lexsort((of, term_))
+    of, term_, weight_ = of[order], term_[order], (weight_ / norm[of])[order]
     blocks = -(-len(ids) // BLOCK)
-    index = Index(terms, idf, np.zeros((len(terms), blocks)), None, None, None, np.array(ids),
-                  np.array([label_of[d] for d in ids]), n1 / n)
-    vectors = [index.vector(x) for x in tfs]
-    rows = np.concatenate([v[0] for v in vectors])
-    of = np.repeat(np.arange(len(ids)), [len(v[0]) for v in vectors])
-    values = np.concatenate([v[1] for v in vectors])
-    order = np.lexsort((of, rows))
-    rows, index.examples, index.weights = rows[order], of[order], values[order]
-    cells = rows * blocks + index.examples // BLOCK
-    index.starts = np.searchsorted(cells, np.arange(len(terms) * blocks + 1))
-    np.maximum.at(index.bounds, (rows, index.examples // BLOCK), index.weights)
+    index.examples, index.weights = of.astype(np.int32), weight_
+    index.bounds = Bounds(term_ * blocks + of // BLOCK, weight_, (len(terms), blocks))
+    index.starts = Starts(index.bounds)
+    held = np.bincount(term_, minlength=len(terms))
+    often = np.flatnonzero(held * COMMON >= len(ids))
+    index.row_of = np.full(len(terms), -1, np.int64)
+    index.row_of[often] = np.arange(len(often))
+    index.common = np.zeros((len(often), len(ids)))
+    mine = index.row_of[term_] >= 0
+    index.common[index.row_of[term_[mine]], of[mine]] = weight_[mine]
+    by = np.argsort(of, kind="stable")
+    ends = np.cumsum(np.bincount(of, minlength=len(ids)))[:-1]
+    vectors = list(zip(np.split(term_[by], ends), np.split(weight_[by], ends)))
     _calibrate(index, vectors)
     return index
 
 
+def _sent(docs: DataFrame, model: Index | None) -> Broadcast:
+    """The index as a broadcast of plain values: pickled once, and without this module."""
+    return docs.sparkSession.sparkContext.broadcast(
+        model and {**vars(model), "bounds": vars(model.bounds), "starts": None})
+
+
+def _received(values: dict | None) -> Index | None:
+    if values is None:
+        return None
+    bounds = Bounds.__new__(Bounds)
+    vars(bounds).update(values["bounds"])
+    return Index(**{**values, "bounds": bounds, "starts": Starts(bounds)})
+
+
 def score_text(index: Index | None, text: str | None, memory: tuple[dict, dict]) -> tuple[float, list]:
     """(score, neighbours) of one text; without an index the score is 0. ``memory`` keeps
     the terms of words and the results of term counts: copies are searched once."""
     if index is None:
         return 0.0, []
     words_, results = memory
-    counts = index.counts(words(text), words_)
-    key = tuple(sorted(counts.items()))
+    vector = index.vector(index.counts(words(text), words_))
+    key = xxhash.xxh3_128_digest(vector[0].tobytes() + vector[1].tobytes())
     if key not in results:
-        near = index.nearest(*index.vector(counts))
-        if len(results) >= REMEMBERED // 10:
+        near = index.nearest(*vector)
+        if len(results) >= REMEMBERED_TEXTS:
             results.clear()
         results[key] = index.score(index.vote(near)), near
     return results[key]
@@ -329,15 +413,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """One row per input row: doc_id, held_out, score (0 to 1), predicted (score >= 0.5) and
     neighbours: the evidence, an array of (doc_id, similarity, label), nearest first.
 
-    A text without any telling term (NULL and empty ones too) has no neighbours and gets the
-    calibrated base rate. If the labels hold one class only, every score is 0.
+    A text without any term of the examples (NULL and empty ones too) has no neighbours and
+    gets the calibrated base rate. If the labels hold one class only, every score is 0.
     """
-    model = fit(docs, labels, **options)  # bounded: sent with the function
+    sent = _sent(docs, fit(docs, labels, **options))  # bounded
     kind = ("doc_id long, score double, "
             "neighbours array<struct<doc_id: long, similarity: double, label: int>>")
 
     def run(batches):
         memory: tuple[dict, dict] = ({}, {})
+        model = _received(sent.value)
         fields = [pa.field("doc_id", pa.int64()), pa.field("similarity", pa.float64()),
                   pa.field("label", pa.int32())]
         for batch in batches:
@@ -361,10 +446,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows whose score is 0.5 or more; all columns stay as they are."""
-    model = fit(docs, labels, **options)  # bounded: sent with the function
+    sent = _sent(docs, fit(docs, labels, **options))  # bounded
 
     def run(batches):
         memory: tuple[dict, dict] = ({}, {})
+        model = _received(sent.value)
         for batch in batches:
             keep = [score_text(model, t.as_py(), memory)[0] < 0.5 for t in batch.column("text")]
             yield batch.filter(pa.array(keep, pa.bool_()))

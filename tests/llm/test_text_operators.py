@@ -86,6 +86,34 @@ def test_toxicity_document_frequencies_cover_the_corpus(make, labelled):
     assert b.idf[b.terms[b"grobnik"]] < a.idf[term]
 
 
+def test_texts_without_terms_have_no_neighbours(make, labelled):
+    rows, labels = labelled
+    out = T.score_toxicity(make([(7001, None, "a"), (7002, "", "a"), (7003, " \t\n", None)] + rows), labels)
+    found = {r.doc_id: r for r in out.filter("doc_id > 7000").collect()}
+    assert len(found) == 3 and len({r.score for r in found.values()}) == 1
+    assert all(r.neighbours == [] and r.predicted == 0 for r in found.values())
+
+
+def test_rare_toxic_texts_and_copies_of_one_are_found(spark, make, labelled):
+    """Toxic texts without a word that many toxic examples share: one of a kind that stands
+    in 4 examples, and one with many copies, labelled (one example after the near copies)."""
+    rng = random.Random(31)
+    rows, labels = labelled
+    rare, copied = prose(rng, 60), prose(rng, 80)
+    rows = rows + [(20_000 + i, " ".join(rng.sample(rare.split(), 50)), "a") for i in range(10)]
+    rows += [(30_000 + i, copied, "a") for i in range(60)]
+    marked = [(20_000 + i, 1, 1) for i in range(10)] + [(30_000 + i, 1, 1) for i in range(60)]
+    labels = labels.unionAll(spark.createDataFrame(marked, labels.schema))
+    out = {r.doc_id: r for r in T.score_toxicity(make(rows), labels).collect()}
+    held = [r for r in out.values() if r.held_out]
+    assert all(r.predicted for r in held if r.doc_id >= 20_000)
+    copies = [r for r in held if r.doc_id >= 30_000]
+    assert copies and all(r.neighbours[0].similarity > 1 - 1e-9 for r in copies)
+    clean = [r for r in held if r.doc_id < 20_000 and r.doc_id % 3]
+    assert sum(r.predicted for r in clean) <= 0.03 * len(clean)
+    assert any(n.label == 0 for r in clean for n in r.neighbours)       # clean examples are neighbours
+
+
 def test_toxicity_edge_cases(spark, make, awkward, labelled):
     rows, labels = labelled
     out = T.score_toxicity(make(awkward + rows), labels).filter("doc_id is null or doc_id < 16")
