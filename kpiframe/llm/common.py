@@ -53,3 +53,10 @@ def fresh(columns: list[str], stem: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def squeezed(col: Column) -> Column:
+    """The text without any space, ``\\t \\n \\v \\f \\r``."""
+    for white in WHITE:
+        col = F.replace(col, F.lit(white), F.lit(""))
+    return col
