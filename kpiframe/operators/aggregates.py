@@ -111,14 +111,16 @@ def share_without(df: DataFrame, by, flags: dict, n_name: str = "n",
     return g.withColumns(derived)
 
 
-def histogram(df: DataFrame, c, bins: int, name: str = "count") -> DataFrame:
+def histogram(df: DataFrame, c, bins: int, name: str = "count",
+              span: tuple[float, float] | None = None) -> DataFrame:
     """Equal-width histogram with ``bins`` bins, empty bins included.
 
     Bin rule of the reference plots: width = (max - min) / (bins - 1), first
     edge = min - width / 2, bins closed on the right; a single bin spans
     [min, max]. A constant column gets a width of 0.1. Missing and non-finite
-    values are left out. Min and max come from
-    one scalar subquery (one extra scan, a one-row result), so nothing is
+    values are left out. Min and max are ``span`` where it is given (as
+    ``sources.parquet_range`` reads it from file footers: then the data are scanned
+    once), else one scalar subquery (one extra scan, a one-row result), so nothing is
     collected and no cross join is needed;
     the bin number is then a plain projection and the count a partial +
     final aggregation over at most ``bins`` keys.
@@ -128,8 +130,11 @@ def histogram(df: DataFrame, c, bins: int, name: str = "count") -> DataFrame:
     x = to_col(c).cast("double")
     # NaN and infinities have no bin
     vals = df.select(x.alias("_x")).filter(F.abs(F.col("_x")) < F.lit(float("inf")))
-    rng = vals.agg(F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi")).alias("r")).scalar()
-    lo, hi = rng["lo"], rng["hi"]
+    if span is None:
+        rng = vals.agg(F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi")).alias("r")).scalar()
+        lo, hi = rng["lo"], rng["hi"]
+    else:
+        lo, hi = (F.lit(float(v)) for v in span)
     if bins == 1:
         # one bin spanning [min, max]
         width = F.when(hi == lo, F.lit(0.1)).otherwise(hi - lo)

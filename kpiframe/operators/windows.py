@@ -5,10 +5,10 @@ Spark has no row position, so every operator here takes an explicit ordering.
 Skew: ``first_per_group`` / ``last_per_group`` / ``last_present`` and
 ``group_size`` are aggregations (``min``/``max`` of a struct led by the order
 key; ``count``), which Spark pre-aggregates map-side, so a group holding a
-third of all rows is folded before the shuffle. ``number_within`` and
-``stack_offsets`` need a real window; they are meant for KPI panels, which are
-unique on (entity, period), so a window partition holds at most one row per
-period (or per stacked part) however skewed the raw data was.
+third of all rows is folded before the shuffle. ``number_within`` needs a real
+window; a large group is cut into ranges of its order first. ``stack_offsets`` is
+meant for KPI panels, which are unique on (entity, period), so a window partition
+holds at most one row per stacked part however skewed the raw data was.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiframe.functions.util import as_list
+from kpiframe.operators.ranges import default_ranges, with_range
 from kpiframe.session import shared_dir
 
 
@@ -35,10 +36,14 @@ def number_within(df: DataFrame, by, order, name: str = "survey",
 
     A group may hold any share of the rows: by default the rows are split at
     sampled bounds of (group, order), so that a large group spans tasks and only
-    rows equal in the whole order stay together (``_number_within_ranges``; it
-    checkpoints the split rows, a job that runs when this function is called).
-    With ``chunks=k`` the split is at quantiles of the first order column, without
-    a checkpoint; ``order`` must then be column names, ascending, the first one
+    rows equal in the whole order stay together. The range of a row is an expression
+    of its own keys (``operators.ranges``): lazy, no checkpoint, and the same in every
+    use and retry. Rows equal in the whole order are numbered in any order.
+
+    ``order`` given as Columns (``F.col("x").desc()``) has no such expression: the split
+    rows are then checkpointed, a job that runs when this function is called.
+    With ``chunks=k`` the split is at quantiles of the first order column;
+    ``order`` must then be column names, ascending, the first one
     numeric, date or timestamp. ``bounded=True`` says that every group is small
     (a panel's rows per entity): one plain window.
     """
@@ -48,10 +53,23 @@ def number_within(df: DataFrame, by, order, name: str = "survey",
         return df.withColumn(name, F.row_number().over(w).cast("long"))
     if chunks:
         return _number_within_chunked(df, as_list(by), order, name, chunks)
-    return _number_within_ranges(df, as_list(by), order, name)
+    by = as_list(by)
+    if all(isinstance(c, str) and c in df.columns and _orderable(df.schema[c].dataType)
+           for c in by + order):
+        return _number_within_ranges(df, by, order, name)
+    return _number_within_partitions(df, by, order, name)
 
 
 def _number_within_ranges(df: DataFrame, by: list, order: list, name: str) -> DataFrame:
+    """Row numbers inside (group, range), shifted by the rows of the group in the ranges
+    before. The sample and the counts read only the key columns."""
+    keyed = with_range(df, by + order, default_ranges(df))
+    local = keyed.withColumn("_rn", F.row_number().over(
+        Window.partitionBy(*by, "_chunk").orderBy(*order)))
+    return _shifted(local, keyed, df.columns, by, name)
+
+
+def _number_within_partitions(df: DataFrame, by: list, order: list, name: str) -> DataFrame:
     """Row numbers inside (group, range partition), shifted by the rows of the group in
     the partitions before. The partition number is part of the checkpoint, so both
     uses of it agree whatever is computed again."""

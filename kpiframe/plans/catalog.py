@@ -19,6 +19,7 @@ from kpiframe.plans import ingest as I
 from kpiframe.plans import kpis as K
 from kpiframe.plans import panels as P
 from kpiframe.plans import views as V
+from kpiframe.plans.incremental import read_output, refresh_months
 from kpiframe.plans.params import (
     DISTRICT_TARGETS,
     HIST_BINS,
@@ -209,9 +210,9 @@ SELECT grid.district, grid.period, agg.expected_reports
 FROM grid LEFT JOIN agg ON grid.district = agg.district AND grid.period = agg.period""")
 def q_panel_grid(spark, d):
     """Every district × every month between the first and last reported month;
-    months without reports stay in the panel with a missing value. The small
-    (district, month) aggregate is checkpointed once, so the fact table is
-    scanned once."""
+    months without reports stay in the panel with a missing value. The (district,
+    month) aggregate is folded to one list per district and filled; its exchange also
+    gives the first and last month, so the fact table is scanned once."""
     fm = V.facility_month(spark, d)
     agg = fm.groupBy("district", "period").agg(F.sum("expected_reports").alias("expected_reports"))
     return P.complete_panel(agg, "district", "period", ["expected_reports"])
@@ -243,6 +244,26 @@ def q_demo_sample(spark, d):
     return G.demo_sample(li, ["l_orderkey", "l_linenumber"], seed=123, lam=5.0)
 
 
+def _poisson_pieces_sql(key: str, lam: float) -> str:
+    """``generators.poisson`` with seed 123 from stream 3 on."""
+    pieces, rate = G.poisson_pieces(lam)
+    steps = ", ".join(f"{x!r}::DOUBLE" for x in G.poisson_thresholds(rate))
+    draws = []
+    for i in range(3, 3 + pieces):
+        u = (f"((CAST('0x' || substr(md5('123|{i}|' || {key}), 1, 13) AS BIGINT) + 0.5::DOUBLE)"
+             f" / {16 ** 13}::DOUBLE)")
+        draws.append(f"len(list_filter([{steps}], lambda t: t < {u}))")
+    return " + ".join(draws)
+
+
+@query("poisson_large", f"""
+SELECT p_partkey, CAST({_poisson_pieces_sql('p_partkey', 900.0)} AS BIGINT) AS z FROM part""")
+def q_poisson_large(spark, d):
+    """One Poisson(900) draw per part: a rate too large for one inversion."""
+    part = table(spark, d, "part").select("p_partkey")
+    return part.select("p_partkey", G.poisson(123, 3, ["p_partkey"], 900.0).alias("z"))
+
+
 @query("kpi_dictionary", FM + """,
 dict(kpi, description, disaggregation) AS (VALUES """ + ", ".join(
     f"({sql_string(a)}, {sql_string(b)}, {sql_string(c)})" for a, b, c in KPI_DICTIONARY_ROWS) + """),
@@ -623,7 +644,7 @@ def q_join_pattern_lookup(spark, d):
 
 @query("join_rule_table", TR + """,
 rules AS (SELECT '^' || n_name || '$' AS pattern, CAST(n_nationkey AS DOUBLE) AS target, n_nationkey AS priority
-          FROM nation WHERE n_nationkey % 2 = 0
+          FROM nation
           UNION ALL SELECT r_name, 1000.0::DOUBLE + r_regionkey, 100 + r_regionkey FROM region),
 best AS (SELECT name, min_by(target, priority) AS target
          FROM (SELECT DISTINCT district AS name FROM tr WHERE district IS NOT NULL) n
@@ -631,7 +652,7 @@ best AS (SELECT name, min_by(target, priority) AS target
 SELECT tr.province, tr.district, tr.cadre, best.target FROM tr LEFT JOIN best ON tr.district = best.name""")
 def q_join_rule_table(spark, d):
     """District target by the first matching rule of a rule table derived from the data."""
-    nation = table(spark, d, "nation").filter(F.col("n_nationkey") % 2 == 0).select(
+    nation = table(spark, d, "nation").select(
         F.concat(F.lit("^"), F.col("n_name"), F.lit("$")).alias("pattern"),
         F.col("n_nationkey").cast("double").alias("target"), F.col("n_nationkey").alias("priority"))
     region = table(spark, d, "region").select(
@@ -755,14 +776,17 @@ FROM b CROSS JOIN e LEFT JOIN c ON b.bin = c.bin"""
 
 @query("histogram", _histogram_sql("l_quantity", "lineitem", HIST_BINS))
 def q_histogram(spark, d):
-    """Equal-width histogram of line quantities, all bins including empty ones."""
-    return O.histogram(table(spark, d, "lineitem"), "l_quantity", HIST_BINS)
+    """Equal-width histogram of line quantities, all bins including empty ones; the range
+    comes from the file footers, so the data are scanned once."""
+    span = S.parquet_range(spark, f"{d.rstrip('/')}/lineitem.parquet", "l_quantity")
+    return O.histogram(table(spark, d, "lineitem"), "l_quantity", HIST_BINS, span=span)
 
 
 @query("histogram_20", _histogram_sql("value", "events", 20))
 def q_histogram_20(spark, d):
     """The dashboard's 20 bins, over the events' values."""
-    return O.histogram(table(spark, d, "events"), "value", 20)
+    span = S.parquet_range(spark, f"{d.rstrip('/')}/events.parquet", "value")
+    return O.histogram(table(spark, d, "events"), "value", 20, span=span)
 
 
 # ====================================================================== windows
@@ -1072,21 +1096,22 @@ def q_stream_refresh(spark, d):
                                              F.sum("value").alias("_sum"))
         return g.select("event_type", "n_events", X.round_even("_sum", 2).alias("sum_value"))
 
-    return refresh_once(spark, f"{d.rstrip('/')}/events*.parquet", schema, transform, out, ckpt)
+    return refresh_once(spark, f"{d.rstrip('/')}/events*.parquet", schema, transform, out, ckpt,
+                        keys="event_type")
 
 
 @query("stream_refresh_poll", """
 SELECT event_type, COUNT(*) AS n_events, COUNT(DISTINCT user_id) AS n_users
 FROM (SELECT event_type, user_id FROM events) GROUP BY event_type""")
 def q_stream_refresh_poll(spark, d):
-    """The polling refresh: the stream keeps (event type, user) counts current; once it has
-    caught up it is stopped, and the distinct users are counted from its last result."""
+    """The polling refresh: the stream upserts the (event type, user) counts that changed;
+    once it has caught up it is stopped, and the distinct users are counted from its table."""
     schema = table(spark, d, "events").schema
     out = scratch_path(spark, "stream_poll_out")
     ckpt = scratch_path(spark, "stream_poll_ckpt")
     running = refresh_every(spark, f"{d.rstrip('/')}/events*.parquet", schema,
                             lambda s: s.groupBy("event_type", "user_id").count(), out, ckpt,
-                            interval="1 second")
+                            interval="1 second", keys=["event_type", "user_id"])
     try:
         running.processAllAvailable()
     finally:
@@ -1094,3 +1119,25 @@ def q_stream_refresh_poll(spark, d):
     return read_current(spark, out).groupBy("event_type").agg(
         F.sum("count").alias("n_events"),
         F.count(F.when(F.col("user_id").isNotNull(), 1)).alias("n_users"))
+
+
+@query("report_by_month", FM + """
+SELECT district, period, COALESCE(SUM(actual_reports), 0) AS actual,
+       COALESCE(SUM(expected_reports), 0) AS expected,
+       round_even(COALESCE(SUM(actual_reports), 0) / NULLIF(COALESCE(SUM(expected_reports), 0), 0), 2)
+         AS completeness
+FROM fm GROUP BY 1, 2""")
+def q_report_by_month(spark, d):
+    """The dashboard job run twice over a growing folder of line items: first those shipped
+    before 1998, then all. The second run writes only the months that came; the table of
+    completeness is returned."""
+    source, out = scratch_path(spark, "by_month_in"), scratch_path(spark, "by_month_out")
+    for name in ("supplier", "nation", "region", "customer", "events"):
+        table(spark, d, name).write.parquet(f"{source}/{name}.parquet")
+    items = table(spark, d, "lineitem")
+    late = F.coalesce(F.col("l_shipdate") >= F.lit("1998-01-01").cast("date"), F.lit(True))
+    items.filter(~late).write.parquet(f"{source}/lineitem.parquet")
+    refresh_months(spark, source, out)
+    items.filter(late).write.mode("append").parquet(f"{source}/lineitem.parquet")
+    refresh_months(spark, source, out)
+    return read_output(spark, out, "completeness")

@@ -13,7 +13,7 @@ from kpiframe.functions.nulls import count_if, if_else, sum_na
 from kpiframe.functions.text import classify, lookup_by_pattern, percent_label, recode
 from kpiframe.functions.util import as_list
 from kpiframe.operators.aggregates import group_agg, ratio_of_sums, with_total
-from kpiframe.operators.joins import left_join_nullsafe
+from kpiframe.operators.joins import bucketed_pair
 from kpiframe.operators.predicates import matches, not_null, range_censor
 from kpiframe.operators.reshape import to_long
 from kpiframe.operators.schema import cols_matching, select_matching
@@ -161,17 +161,17 @@ def referral_joined(report: DataFrame, managed_cols) -> DataFrame:
     """Referral rows with their managed counts (NULL when there is none):
     referred ⟕ managed on the seven keys, NULL matching NULL.
 
-    Both sides are filters of the same tagged cell table, so the report below
-    them is one plan and its shuffle is computed once and reused.
+    The cells of both sides are written once, bucketed and sorted by the keys
+    (``operators.joins.bucketed_pair``), so the join itself has no exchange and the report
+    is computed once. Writing is a job that runs when this function is called.
     """
-    cells = count_cells(report, managed_cols)
-    side = F.col("side")
-    refs = cells.filter(side == F.lit("R")).select(
-        *REFERRAL_KEYS, "stat", F.col("n").alias("referral_count"))
-    mans = cells.filter(side == F.lit("M")).select(
-        *REFERRAL_KEYS, F.col("stat").alias("stat2"), F.col("n").alias("managed_count"))
-    # both have a default, so they are never missing
-    return left_join_nullsafe(refs, mans, REFERRAL_KEYS, present=["age_group", "gender"])
+    refs, mans, key = bucketed_pair(count_cells(report, managed_cols), REFERRAL_KEYS,
+                                    "side", "R", "M")
+    refs = refs.withColumnsRenamed({"n": "referral_count"})
+    mans = mans.select(F.col(key).alias("_m"), F.col("stat").alias("stat2"),
+                       F.col("n").alias("managed_count"))
+    return refs.join(mans, F.col(key) == F.col("_m"), "left").select(
+        *REFERRAL_KEYS, "stat", "referral_count", "stat2", "managed_count")
 
 
 def referral(report: DataFrame, managed_cols, digits: int = 2) -> DataFrame:

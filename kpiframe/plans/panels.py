@@ -138,27 +138,35 @@ def kpi_trained_vs_target(df: DataFrame, clinical: str, nonclinical: str,
 
 
 def complete_panel(df: DataFrame, entity: str, period: str, values,
-                   months: int = 1, checkpoint: bool = True) -> DataFrame:
+                   months: int = 1) -> DataFrame:
     """Every entity × every period between the first and the last period of
     ``df``; periods an entity did not report stay as rows with missing values.
 
-    ``df`` is an aggregate with one row per (entity, period). It is read three
-    times (entities, period range, values), so by default it is checkpointed
-    once to the session's checkpoint folder: a job that runs when this function
-    is called, not when its result is used. The grid is a per-entity
-    ``explode(sequence)``: no join builds the product.
+    ``df`` is an aggregate with one row per (entity, period), so an entity's rows are
+    few: they are folded to one list per entity (one shuffle), and the list is filled by
+    the sequence of periods. The first and last period come from a scalar subquery over
+    the same aggregate, whose exchange Spark reuses. No join, no checkpoint. Rows without
+    a period are left out; a missing entity is an entity.
     """
-    from kpiframe.session import shared_dir
-
     values = as_list(values)
-    base = df.select(entity, period, *values)
-    if checkpoint:
-        shared_dir(df.sparkSession)  # the session's folder (set only when unset)
-        base = base.checkpoint(eager=True)
-    span = base.agg(F.sequence(F.min(period), F.max(period),
+    base = df.select(F.col(entity).alias("_e"), F.col(period).alias("_p"),
+                     F.struct(*values).alias("_v")).filter(F.col("_p").isNotNull())
+    span = base.agg(F.sequence(F.min("_p"), F.max("_p"),
                                F.expr(f"INTERVAL {int(months)} MONTH")).alias("m")).scalar()
-    grid = base.select(entity).distinct().select(entity, F.explode(span).alias(period))
-    return grid.join(base, [entity, period], "left").select(entity, period, *values)
+    held = base.groupBy("_e").agg(F.collect_list(F.struct("_p", "_v")).alias("_held"))
+    kind = base.schema["_v"].dataType
+
+    def of_period(p):
+        """A period's rows, or one without values."""
+        mine = F.filter("_held", lambda h: h["_p"] == p)
+        gap = F.array(F.struct(p.alias("_p"), F.lit(None).cast(kind).alias("_v")))
+        return F.when(F.exists("_held", lambda h: h["_p"] == p), mine).otherwise(gap)
+
+    # a column first: a subquery may not stand inside a lambda
+    rows = held.withColumn("_span", span).select(
+        F.col("_e").alias(entity), F.inline(F.flatten(F.transform("_span", of_period))))
+    return rows.select(entity, F.col("_p").alias(period),
+                       *[F.col(f"_v.`{v}`").alias(v) for v in values])
 
 
 def annotate_kpis(results: DataFrame, dictionary: DataFrame, key: str = "kpi") -> DataFrame:

@@ -40,8 +40,9 @@ def _missing_if_zero(c: str):
     return F.when(F.col(c) > F.lit(0), F.col(c).cast("double")).alias(c)
 
 
-def facility_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facility × month report (a facility is a supplier, identified by its key).
+def facility_month(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
+    """Facility × month report (a facility is a supplier, identified by its key), of all line
+    items or of the ones given.
 
     Plan: lineitem is aggregated to (supplier key, month) — a partial
     (map-side) + final hash aggregation, so a supplier holding a large share
@@ -51,7 +52,7 @@ def facility_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     5 rows: broadcast by the planner's size check). A key join adds names
     without changing the grain, so no second aggregation is needed.
     """
-    li = table(spark, sf_dir, "lineitem")
+    li = table(spark, sf_dir, "lineitem") if lineitem is None else lineitem
     flag, status, qty = F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_quantity")
     aggs = [F.sum(F.when(flag == F.lit(v), qty)).alias(f"stock_{k}") for k, v in _FLAGS.items()]
     # plain counters (count_if) are cheaper per row than sums of CASE values
@@ -96,11 +97,11 @@ def training(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def kpi_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def kpi_panel(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Wide panel: one row per (adm0 = event type, date = day of the event),
     ``n_events``, ``n_users`` (distinct) and ``n_large`` (events with value above
     180, missing when there are none) — a panel with gaps."""
-    ev = table(spark, sf_dir, "events")
+    ev = table(spark, sf_dir, "events") if events is None else events
     large = F.count_if(F.col("value") > F.lit(180))
     g = ev.groupBy(F.col("event_type").alias("adm0"), F.to_date("ts").alias("date")).agg(
         F.count(F.lit(1)).cast("double").alias("n_events"),

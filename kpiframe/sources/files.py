@@ -6,10 +6,17 @@ data and types an all-empty column as string, which breaks a strict union.
 
 from __future__ import annotations
 
+import math
+import uuid
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from kpiframe.sources.store import delete_path, exists, rename
+
 
 def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None,
                fmt: str = "csv", **options) -> DataFrame:
@@ -48,10 +55,66 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", "true").csv(path)
 
 
-def write_if_absent(df: DataFrame, path: str, fmt: str = "csv") -> None:
-    """Create the output only when nothing exists at ``path`` (``mode("ignore")``)."""
-    w = df.write.mode("ignore")
-    if fmt == "csv":
-        w.option("header", "true").csv(path)
-    else:
-        w.format(fmt).save(path)
+def write_if_absent(df: DataFrame, path: str, fmt: str = "csv") -> bool:
+    """Create the output only when nothing exists at ``path``; whether this call did.
+
+    The rows are written beside ``path`` and put in place by one rename that refuses to
+    replace anything. What exists at ``path`` is therefore whole: a write that failed leaves
+    nothing there, so the next call creates it, and of two writers at once one wins and the
+    other's rows are dropped.
+    """
+    spark = df.sparkSession
+    path = path.rstrip("/")
+    if exists(spark, path):
+        return False
+    draft = f"{path}.{uuid.uuid4().hex}.writing"
+    try:
+        writer = df.write.mode("errorifexists")
+        if fmt == "csv":
+            writer = writer.option("header", "true")
+        writer.format(fmt).save(draft)
+        rename(spark, draft, path, overwrite=False)
+        return True
+    except Py4JJavaError as failed:
+        if "FileAlreadyExistsException" not in failed.java_exception.getClass().getName():
+            raise
+        return False
+    finally:
+        delete_path(spark, draft)  # nothing is there after the rename
+
+
+def parquet_range(spark: SparkSession, path: str, column: str) -> tuple[float, float] | None:
+    """(least, greatest) value of a numeric Parquet column from the files' footers, by Spark's
+    aggregate push-down; no data page is read. None where footers cannot tell: statistics are
+    missing, the column holds an infinity or no value, or the table is not plain Parquet.
+    NaN is not counted (files whose statistics it spoils have none).
+    """
+    session = spark.newSession()  # the settings below are for this look-up only
+    session.conf.set("spark.sql.sources.useV1SourceList", "avro,csv,json,kafka,orc,text")
+    session.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    c = F.col(column)
+    try:
+        found = session.read.parquet(path).agg(F.min(c).alias("lo"), F.max(c).alias("hi"))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        if "PushedAggregation: [MIN(" not in plan:
+            return None
+        lo, hi = found.first()
+    except (PySparkException, Py4JJavaError):  # a footer without statistics
+        return None
+    if lo is None or not all(isinstance(v, (int, float)) and math.isfinite(v) for v in (lo, hi)):
+        return None
+    return float(lo), float(hi)
+
+
+def write_bucketed(df: DataFrame, key: str, buckets: int, path: str) -> DataFrame:
+    """``df`` written under ``path`` in ``buckets`` files by the hash of ``key``, sorted by it,
+    and read back: joins and aggregations on ``key`` need no exchange. Nothing stays in the
+    catalog."""
+    spark = df.sparkSession
+    name = f"kpiframe_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key) \
+        .format("parquet").option("path", path).saveAsTable(name)
+    out = spark.table(name).select(*df.columns)
+    out.schema  # resolved: the plan holds the files and their buckets
+    spark.sql(f"DROP TABLE {name}")  # external: the files stay
+    return out

@@ -1,0 +1,298 @@
+"""Numbering and ranking over ranges, the rule index, gap filling, large Poisson rates,
+create-if-absent."""
+
+import random
+import re
+import threading
+from collections import Counter
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from kpiframe import operators as O
+from kpiframe.operators import joins as J
+from kpiframe.operators import ranges as A
+from kpiframe.plans import panels as P
+from kpiframe.session import scratch_path
+from kpiframe.sources import files as S
+from kpiframe.sources import generators as G
+
+FEW = settings(max_examples=12, deadline=None,
+               suppress_health_check=[HealthCheck.function_scoped_fixture])
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+# ------------------------------------------------------------------ ranges
+
+def test_range_numbers_follow_the_order(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, rng.random()])) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(4)
+    got = [(r.g, r.x, r.n) for r in A.with_range(df, ["g", "x"], 7, "n").orderBy("g", "x").collect()]
+    numbers = [k for _, _, k in got]
+    assert numbers == sorted(numbers) and len(set(numbers)) > 3
+    same = {}
+    for g, x, k in got:
+        assert same.setdefault((g, x), k) == k
+    # the sample spreads the rows: no range holds most of them
+    assert max(Counter(numbers).values()) < 1200
+
+
+@FEW
+@given(st.lists(st.tuples(st.sampled_from(["hot", "hot", "hot", "b", None]),
+                          st.one_of(st.none(), st.integers(-20, 20)), st.integers(0, 3)), max_size=60))
+def test_number_within_equals_row_number(spark, rows):
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)],
+                               "g string, x int, y int, id long").repartition(3)
+    out = O.number_within(df, "g", ["x", "y", "id"], "n").collect()
+    want = {}
+    for g in {r[0] for r in rows}:
+        mine = sorted((x is not None, x or 0, y, i) for i, (h, x, y) in enumerate(rows) if h == g)
+        want.update({i: k for k, (*_, i) in enumerate(mine, 1)})
+    assert {r.id: r.n for r in out} == want
+
+
+def test_number_within_needs_no_checkpoint_and_splits_a_hot_group(spark):
+    df = spark.range(6000).select(F.when(F.col("id") % 3 == 0, F.col("id") % 50).otherwise(-1)
+                                  .alias("g"), F.col("id").alias("x"))
+    out = O.number_within(df, "g", "x", "n")
+    plan = plan_of(out)
+    assert "LogicalRDD" not in plan                     # what a checkpoint leaves behind
+    keyed = A.with_range(df, ["g", "x"], A.default_ranges(df), "c")
+    hot = [r["count"] for r in keyed.filter("g = -1").groupBy("c").count().collect()]
+    assert len(hot) > 1 and max(hot) < 4000
+    got = {r.x: r.n for r in out.filter("g = -1").collect()}
+    want = {x: k for k, x in enumerate((x for x in range(6000) if x % 3), 1)}
+    assert got == want
+
+
+def test_number_within_descending_columns(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 5)], "g string, x int")
+    got = {(r.g, r.x): r.n for r in O.number_within(df, "g", F.col("x").desc(), "n").collect()}
+    assert got == {("a", 2): 1, ("a", 1): 2, ("b", 5): 1}
+
+
+@FEW
+@given(st.lists(st.one_of(st.none(), st.text("abcé", max_size=3)), max_size=60), st.integers(1, 6))
+def test_level_number_is_a_dense_rank(spark, values, ranges):
+    df = spark.createDataFrame([(v,) for v in values], "c string").repartition(2)
+    number = {v: k for k, v in enumerate(sorted({v for v in values if v is not None}), 1)}
+    got = [(r.c, r.level) for r in O.level_number(df, "c", ranges=ranges).collect()]
+    assert sorted(got, key=str) == sorted([(v, number.get(v)) for v in values], key=str)
+
+
+def test_level_number_has_no_window_without_a_partition(spark):
+    df = spark.createDataFrame([("b",), ("a",)], "c string")
+    plan = plan_of(O.level_number(df, "c"))
+    windows = re.findall(r"Window \[.*", plan)
+    assert windows and all("_chunk" in w.split("windowspecdefinition(")[1].split(" ASC")[0]
+                           for w in windows)
+
+
+# ------------------------------------------------------------------ rule table
+
+NAMES = ["Kasama", "Kasama North", "Chisamba", "Ngabwe", "Luwingu", "Chilubi", "ab", "", None,
+         "a.b.c", "xxabcxx", "abc\n", "KASAMA", "North", "[odd]"]
+RULES = [("^Kasama$", 1.0, 5), ("Kasama", 2.0, 7), ("North", 3.0, 6), ("^Chi.*a$", 4.0, 1),
+         ("Chi", 5.0, 9), ("(Ngabwe|Luwingu)", 6.0, 2), ("Luwingu", 7.0, 3), ("a.b", 8.0, 4),
+         ("^abc$", 9.0, 4), ("ab+c", 10.0, 8), ("[Kk]as", 11.0, 20), ("(?i)kasama", 12.0, 21),
+         ("Nga?bwe", 13.0, 1), ("\\[odd\\]", 14.0, 1), ("", 15.0, 100), ("unused", 16.0, 0),
+         (None, 17.0, 0), ("North", 18.0, 6), ("Lu\\w+", 19.0, None)]
+
+
+def first_match(name, rules):
+    """Lowest priority (a missing one first), then the lesser pattern, then the lesser value."""
+    best = [((p is not None, p or 0), r, v) for r, v, p in rules
+            if name is not None and r is not None and re.search(r, name)]
+    return min(best)[2] if best else None
+
+
+@pytest.mark.parametrize("rules", [RULES, RULES[:-4], RULES[:1], []])
+@pytest.mark.parametrize("block", [1000, 2])
+def test_rules_find_the_first_match(spark, monkeypatch, rules, block):
+    monkeypatch.setattr(J, "RULES_PER_BLOCK", block)
+    df = spark.createDataFrame([(n, i) for i, n in enumerate(NAMES * 2)], "name string, i int")
+    table = spark.createDataFrame(rules, "pattern string, target double, priority int")
+    got = O.lookup_by_rules(df, "name", table, "target")
+    assert got.columns == ["name", "i", "target"]
+    for r in got.collect():
+        assert r.target == first_match(r.name, rules), r
+
+
+def test_a_name_meets_only_rules_it_can_match(spark):
+    """100 places and 100 exact rules: of the rules filed under text that all share, each
+    name meets few."""
+    names = spark.range(100, 1100, 10).select(F.concat(F.lit("place-"), "id").alias("name"))
+    rules = names.select(F.concat(F.lit("^"), "name", F.lit("$")).alias("pattern"),
+                         F.substring("name", 7, 4).cast("double").alias("target"),
+                         F.lit(1).alias("priority"))
+    out = O.lookup_by_rules(names, "name", rules, "target")
+    assert all(r.target == float(r.name[6:]) for r in out.collect())
+    plan = plan_of(out)
+    assert "Window" not in plan and "LogicalRDD" not in plan
+    # candidates: (name, rule) pairs that the index leaves for the regex
+    filed = [J._literal_runs(F.col("pattern"))]
+    runs = rules.select("pattern", filed[0].alias("runs")).collect()
+    assert all(r.runs == ["", r.pattern[1:-1], ""] or r.pattern[1:-1] in r.runs for r in runs)
+
+
+# ------------------------------------------------------------------ gap filling
+
+def test_complete_panel_one_shuffle_after_the_aggregate(spark):
+    import datetime as dt
+
+    day = lambda m: dt.date(2024, m, 1)
+    rows = [("a", day(1), 1.0, "x"), ("a", day(4), None, "y"), ("b", day(3), 3.0, None),
+            (None, day(2), 5.0, "z"), ("c", None, 9.0, "w"), ("b", day(3), 4.0, "twice")]
+    df = spark.createDataFrame(rows, "e string, p date, v double, w string")
+    out = P.complete_panel(df, "e", "p", ["v", "w"])
+    assert out.columns == ["e", "p", "v", "w"]
+    held = {}
+    for e, p, v, w in rows:
+        held.setdefault((e, p), []).append((v, w))
+    want = [(e, day(m), *vw) for e in ("a", "b", None) for m in (1, 2, 3, 4)
+            for vw in held.get((e, day(m)), [(None, None)])]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+    plan = plan_of(out)
+    assert "Join" not in plan and "LogicalRDD" in plan      # the input itself, no checkpoint
+    fresh = P.complete_panel(df, "e", "p", ["v", "w"])                # not run: its plan stands once
+    assert fresh._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    empty = P.complete_panel(df.filter("false"), "e", "p", ["v", "w"])
+    assert empty.collect() == []
+
+
+# ------------------------------------------------------------------ Poisson
+
+def test_poisson_of_any_rate(spark):
+    keys = spark.range(4000).select(F.col("id").alias("k"))
+    for lam in (0.0, 5.0, 200.0, 201.0, 2500.0):
+        z = keys.select("k", G.poisson(7, 3, ["k"], lam).alias("z"))
+        mean, var = z.agg(F.avg("z"), F.variance("z")).first()
+        assert abs(mean - lam) <= 5 * (lam / 4000) ** 0.5 + 1e-9
+        assert abs(var - lam) <= 0.15 * lam + 1e-9
+    a = {r.k: r.z for r in z.collect()}
+    b = {r.k: r.z for r in keys.repartition(7).select("k", G.poisson(7, 3, ["k"], lam).alias("z")).collect()}
+    assert a == b
+    assert dict(G.demo_sample(keys, ["k"], lam=900.0).dtypes)["z"] == "bigint"
+    for bad in (-1.0, float("inf"), float("nan")):
+        with pytest.raises(ValueError):
+            G.poisson_pieces(bad)
+
+
+def test_poisson_pieces_add_up_to_plain_draws(spark):
+    """The binary search over the array gives the same draw as the chain of thresholds."""
+    keys = spark.range(300).select(F.col("id").alias("k"))
+    pieces, rate = G.poisson_pieces(450.0)
+    plain = sum((G.poisson_from_uniform(G.uniform(1, 3 + i, ["k"]), rate).cast("long")
+                 for i in range(pieces)), F.lit(0).cast("long"))
+    assert pieces == 3
+    both = keys.select(G.poisson(1, 3, ["k"], 450.0).alias("a"), plain.alias("b")).collect()
+    assert all(r.a == r.b for r in both)
+
+
+# ------------------------------------------------------------------ create when absent
+
+KIND = "district string, n long"
+
+
+def test_a_failed_write_leaves_nothing(spark):
+    path = scratch_path(spark, "t_absent")
+    bad = spark.range(100).select(F.col("id").cast("string").alias("district"),
+                                  F.when(F.col("id") == 99, F.raise_error(F.lit("lost")).cast("long"))
+                                  .otherwise(F.col("id")).alias("n")).repartition(4)
+    for fmt in ("csv", "parquet"):
+        with pytest.raises(Exception, match="lost"):
+            S.write_if_absent(bad, path, fmt)
+    good = spark.createDataFrame([("K", 1)], KIND)
+    assert S.write_if_absent(good, path)
+    assert not S.write_if_absent(good.limit(0), path)
+    assert [tuple(r) for r in S.read_table(spark, path, KIND).collect()] == [("K", 1)]
+
+
+def test_two_writers_one_wins(spark):
+    path = scratch_path(spark, "t_two")
+    slow = F.udf(lambda n: __import__("time").sleep(1) or n, "long")
+    won = {}
+
+    def write(who):
+        df = spark.createDataFrame([(who, 1)], KIND).withColumn("n", slow("n"))
+        won[who] = S.write_if_absent(df, path)
+
+    threads = [threading.Thread(target=write, args=(w,)) for w in ("a", "b")]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(won.values()) == [False, True]
+    rows = [r.district for r in S.read_table(spark, path, KIND).collect()]
+    assert rows == [w for w, first in won.items() if first]
+
+
+# ------------------------------------------------------------------ footers and buckets
+
+def test_range_from_footers(spark, tmp_path):
+    import math
+
+    def written(name, values, kind="double"):
+        path = str(tmp_path / name)
+        spark.createDataFrame([(v,) for v in values], f"x {kind}").coalesce(1).write.parquet(path)
+        return path
+
+    assert S.parquet_range(spark, written("a", [3.5, -2.25, None, 7.0]), "x") == (-2.25, 7.0)
+    assert S.parquet_range(spark, written("b", [3, 9, 4], "int"), "x") == (3.0, 9.0)
+    # what footers cannot tell is left to a scan
+    for name, values in (("c", [1.0, math.nan]), ("d", [1.0, math.inf]), ("e", [None, None])):
+        path = written(name, values)
+        assert S.parquet_range(spark, path, "x") in (None, (1.0, 1.0))
+        df = spark.read.parquet(path)
+        span = S.parquet_range(spark, path, "x")
+        a, b = (sorted(map(tuple, O.histogram(df, "x", 3, span=s).collect()), key=str) for s in (span, None))
+        assert a == b
+    assert S.parquet_range(spark, written("f", ["a", "b"], "string"), "x") is None
+
+
+def test_histogram_with_a_range_scans_once(spark):
+    from tests.conftest import SF_SMALL
+
+    path = f"{SF_SMALL}/lineitem.parquet"
+    df = spark.read.parquet(path)
+    span = S.parquet_range(spark, path, "l_quantity")
+    assert span == tuple(df.agg(F.min("l_quantity"), F.max("l_quantity")).first())
+    one, two = O.histogram(df, "l_quantity", 12, span=span), O.histogram(df, "l_quantity", 12)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+    again = O.histogram(df, "l_quantity", 12, span=span)        # not run: its plan stands once
+    assert again._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+def test_bucketed_pair_joins_without_an_exchange(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice("LR"), rng.choice(["a", "b", None, "a:b", "-"]), rng.choice([None, 1, 2]), i)
+            for i in range(300)]
+    rows += [("L", "hot", 1, 1000 + i) for i in range(150)] + [("R", "hot", 1, 2000 + i) for i in range(3)]
+    df = spark.createDataFrame(rows, "side string, k string, j int, v int").repartition(5)
+    left, right, key = J.bucketed_pair(df, ["k", "j"], "side", "L", "R", buckets=6, hot=20)
+    right = right.select(F.col(key).alias("_r"), F.col("v").alias("w"))
+    joined = left.join(right, F.col(key) == F.col("_r"), "left")
+    with_plan = joined.select("k", "j", "v", "w")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = with_plan._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(tuple, with_plan.collect()), key=str)
+        sizes = [r["count"] for r in left.filter("k = 'hot'").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    by_key = {}
+    for s, k, j, v in rows:
+        if s == "R":
+            by_key.setdefault((k, j), []).append(v)
+    want = [(k, j, v, w) for s, k, j, v in rows if s == "L" for w in by_key.get((k, j), [None])]
+    assert got == sorted(want, key=str)
+    # a hot key is spread over buckets
+    assert len(sizes) > 2 and max(sizes) < 100
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("kpiframe_")]
