@@ -153,10 +153,10 @@ class Matcher:
         radius, at its nearest window."""
         get = self.symbols.get
         lengths = [len(ws) for ws in texts]
-        # texts one after the other, with foreign words between them so that no window of a
-        # text matches words of another one
+        # texts one after the other, with foreign words before, between and after them, so that
+        # a window may begin before its text or end after it, and matches no words of another
         gap = self.width * 2
-        starts = np.cumsum([0] + [n + gap for n in lengths])
+        starts = np.cumsum([gap] + [n + gap for n in lengths])
         ids = np.zeros(int(starts[-1]) + gap, np.int64)
         for a, ws in zip(starts.tolist(), texts):
             ids[a:a + len(ws)] = np.fromiter(map(get, ws, repeat(0)), np.int64, len(ws))
@@ -166,7 +166,6 @@ class Matcher:
         pairs: set[tuple[int, int]] = set()
         for k in range(0, len(at), WINDOWS_PER_BLOCK):
             size, start = sizes[k:k + WINDOWS_PER_BLOCK], at[k:k + WINDOWS_PER_BLOCK]
-            start = np.clip(start, 0, len(ids) - size)
             column = np.arange(self.width)
             rows = ids[np.minimum(start[:, None] + column, len(ids) - 1)] * (column < size[:, None])
             for table, known, keys in zip(self.by_key, self.known, walk_keys(rows, size)):
@@ -175,7 +174,7 @@ class Matcher:
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for start, i in sorted(pairs):
             row, d = self.rows[i], self.radius[i]
-            text = int(np.searchsorted(starts, start + len(row) // 2, "right")) - 1
+            text = max(0, int(np.searchsorted(starts, start + len(row) // 2, "right")) - 1)
             a = int(starts[text])
             low, high = max(a, start - 2 * d), min(a + lengths[text], start + len(row) + 2 * d)
             if high <= low:
@@ -264,7 +263,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame,
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame,
                       words_per_pass: int = WORDS_PER_PASS) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item; all columns stay as they are."""
+    """``docs`` without the rows that hold a benchmark item; all columns stay as they are.
+    NULL and empty texts hold nothing and stay; repeated rows are judged alike."""
     out = docs
     for items in _passes(benchmark, words_per_pass):
         sent = docs.sparkSession.sparkContext.broadcast(items)
