@@ -72,19 +72,28 @@ def band(n_bytes: int) -> tuple[float, float]:
     return float(np.interp(x, xs, low)), float(np.interp(x, xs, high))
 
 
+def chunk_starts(n_bytes: int) -> list[int]:
+    """Where the chunks of a text start: one after the other, and a last one that ends with
+    the text, so that every byte is in a chunk. A text shorter than a chunk has none."""
+    starts = list(range(0, n_bytes - CHUNK + 1, CHUNK))
+    if starts and starts[-1] + CHUNK < n_bytes:
+        starts.append(n_bytes - CHUNK)
+    return starts
+
+
 def compression(text: bytes, zstd: zstandard.ZstdCompressor) -> tuple[float, int, int, bool]:
-    """(ratio of the whole text, chunks, chunks outside their band, verdict). Only whole
-    chunks count; an empty text has ratio 1 and fails."""
+    """(ratio of the whole text, chunks, chunks outside their band, verdict). An empty text
+    has ratio 1 and fails."""
     if not text:
         return 1.0, 0, 0, False
     ratio = len(zstd.compress(text)) / len(text)
     view = memoryview(text)
-    chunks = len(text) // CHUNK
+    starts = chunk_starts(len(text))
     low, high = CHUNK_BAND
-    outside = sum(not low <= len(zstd.compress(view[k * CHUNK:(k + 1) * CHUNK])) / CHUNK <= high
-                  for k in range(chunks))
+    outside = sum(not low <= len(zstd.compress(view[at:at + CHUNK])) / CHUNK <= high for at in starts)
     least, greatest = band(len(text))
-    return ratio, chunks, outside, least <= ratio <= greatest and outside <= CHUNKS_OUTSIDE * chunks
+    return ratio, len(starts), outside, \
+        least <= ratio <= greatest and outside <= CHUNKS_OUTSIDE * len(starts)
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -124,7 +133,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that the rules reject; all columns stay as they are."""
+    """``docs`` without the rows that the rules reject; all columns stay as they are. NULL and
+    empty texts have too few words and go; repeated rows are judged alike."""
     def run(batches):
         zstd = zstandard.ZstdCompressor(level=LEVEL)
         for batch in batches:
