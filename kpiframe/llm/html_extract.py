@@ -54,7 +54,7 @@ FURNITURE = frozenset(
 FURNITURE_ROLES = frozenset(
     "navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar "
     "toolbar".split())
-#: parts of class and id names
+#: class and id names, or parts of them
 FURNITURE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment "
     "comments consent cookie cookies discussion disqus footer gdpr header login masthead menu menus "
@@ -62,6 +62,12 @@ FURNITURE_NAMES = frozenset(
     "promotion recommended related replies reply respond search share sharing sidebar signup skip "
     "skyscraper social sponsor sponsored sponsors subscribe subscription toolbar topbar widget "
     "widgets".split())
+#: parts that say where or what an element is, but not whose; a name of such parts and at
+#: least one of the names above is furniture too (``site-header``, ``cookie-banner-wrapper``)
+NEUTRAL_PARTS = frozenset(
+    "area bar block bottom box col column container desktop fixed global group inner item items "
+    "left link links list mobile outer page panel post posts primary right row secondary section "
+    "site slot sticky top unit wrap wrapper".split())
 CONTENT = frozenset(["article", "main"])
 # --- end of fixed values ---
 
@@ -77,6 +83,17 @@ _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 
 
+def _names_furniture(value: str) -> bool:
+    """Whether a class or id attribute holds a name of furniture. A name counts as a whole:
+    beside furniture it may only have neutral parts (``post-with-sidebar`` is a post)."""
+    for name in value.split():
+        parts = set(_NAME_PARTS.findall(name))
+        held = parts & FURNITURE_NAMES
+        if held and parts - held <= NEUTRAL_PARTS:
+            return True
+    return False
+
+
 def _label(name: str, attributes: str) -> tuple[str, bool]:
     """(step of a path, whether the element is furniture)."""
     if "=" not in attributes and "hidden" not in attributes:
@@ -88,8 +105,8 @@ def _label(name: str, attributes: str) -> tuple[str, bool]:
         step += f" {value}"
         if kind.lower() == "role":
             furniture |= value in FURNITURE_ROLES
-        elif name not in ("html", "body"):
-            furniture |= not FURNITURE_NAMES.isdisjoint(_NAME_PARTS.findall(value))
+        elif name not in ("html", "body", "main", "article"):
+            furniture |= _names_furniture(value)
     return step, furniture
 
 
@@ -151,7 +168,8 @@ def tokens(page: str) -> Iterator[tuple[str, str | None, bool, bool]]:
         top = stack[-1] if stack else ("", "", False, False)
         step, furniture = _label(name, attributes or "")
         path = f"{top[1]}/{step}"
-        furniture |= top[2]
+        # the page's main part is no furniture, whatever the elements around it are called
+        furniture |= top[2] and name != "main"
         content = top[3] or name in CONTENT
         if name in BLOCKS or furniture and not top[2]:
             if parts and furniture and not top[2]:
@@ -243,7 +261,8 @@ def templates(pages: DataFrame, support: float = SUPPORT, min_pages: int = MIN_P
 
 def main_text(page: str, boilerplate: set[int]) -> str:
     """The article's blocks, one per line: those in ``article`` or ``main``, if the page has
-    text there, else all that is no furniture; without the template's."""
+    text there, else all that is no furniture; without the template's. A ``header`` is
+    furniture in an article too, as the contract drops headers: a headline in it goes."""
     inside, anywhere = [], []
     for path, text, furniture, content in tokens(page):
         if text is None or furniture or boilerplate and _token_hash(path, text) in boilerplate:
