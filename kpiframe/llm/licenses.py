@@ -27,7 +27,7 @@ COVERAGE = 0.8
 #: a match may be longer than its template by this factor, and by this many words
 STRETCH, SLACK = 1.25, 2
 
-# --- fixed values: licence texts and notices, public, shortened to their operative words ---
+# --- fixed values: public licence texts without their copyright lines, headers and notices ---
 TEMPLATES: dict[str, str] = {
     "MIT notice": "Released under the MIT License.",
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
@@ -56,13 +56,56 @@ TEMPLATES: dict[str, str] = {
            "or without fee is hereby granted, provided that the above copyright notice and this "
            "permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE "
            "AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED "
-           "WARRANTIES OF MERCHANTABILITY AND FITNESS.",
-    "BSD": "Redistribution and use in source and binary forms, with or without modification, are "
-           "permitted provided that the following conditions are met: Redistributions of source "
-           "code must retain the above copyright notice, this list of conditions and the following "
-           "disclaimer. Redistributions in binary form must reproduce the above copyright notice, "
-           "this list of conditions and the following disclaimer in the documentation and/or other "
-           "materials provided with the distribution.",
+           "WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR "
+           "ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER "
+           "RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
+           "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
+           "PERFORMANCE OF THIS SOFTWARE.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, "
+                    "are permitted provided that the following conditions are met: 1. Redistributions of "
+                    "source code must retain the above copyright notice, this list of conditions and the "
+                    "following disclaimer. 2. Redistributions in binary form must reproduce the above "
+                    "copyright notice, this list of conditions and the following disclaimer in the "
+                    "documentation and/or other materials provided with the distribution. THIS SOFTWARE "
+                    "IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR "
+                    "IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF "
+                    "MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT "
+                    "SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, "
+                    "INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED "
+                    "TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR "
+                    "BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN "
+                    "CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN "
+                    "ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH "
+                    "DAMAGE.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, "
+                    "are permitted provided that the following conditions are met: 1. Redistributions of "
+                    "source code must retain the above copyright notice, this list of conditions and the "
+                    "following disclaimer. 2. Redistributions in binary form must reproduce the above "
+                    "copyright notice, this list of conditions and the following disclaimer in the "
+                    "documentation and/or other materials provided with the distribution. 3. Neither the "
+                    "name of the copyright holder nor the names of its contributors may be used to endorse "
+                    "or promote products derived from this software without specific prior written "
+                    "permission. THIS SOFTWARE "
+                    "IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR "
+                    "IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF "
+                    "MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT "
+                    "SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, "
+                    "INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED "
+                    "TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR "
+                    "BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN "
+                    "CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN "
+                    "ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH "
+                    "DAMAGE.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no "
+            "event will the authors be held liable for any damages arising from the use of this "
+            "software. Permission is granted to anyone to use this software for any purpose, "
+            "including commercial applications, and to alter it and redistribute it freely, subject "
+            "to the following restrictions: 1. The origin of this software must not be "
+            "misrepresented; you must not claim that you wrote the original software. If you use "
+            "this software in a product, an acknowledgment in the product documentation would be "
+            "appreciated but is not required. 2. Altered source versions must be plainly marked as "
+            "such, and must not be misrepresented as being the original software. 3. This notice "
+            "may not be removed or altered from any source distribution.",
     "Apache-2.0 header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may "
                          "not use this file except in compliance with the License. You may obtain a "
                          "copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless "
@@ -83,7 +126,18 @@ TEMPLATES: dict[str, str] = {
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is "
                  "free to copy, modify, publish, use, compile, sell, or distribute this software, "
                  "either in source code form or as a compiled binary, for any purpose, commercial or "
-                 "non-commercial, and by any means.",
+                 "non-commercial, and by any means. In jurisdictions that recognize copyright laws, "
+                 "the author or authors of this software dedicate any and all copyright interest in "
+                 "the software to the public domain. We make this dedication for the benefit of the "
+                 "public at large and to the detriment of our heirs and successors. We intend this "
+                 "dedication to be an overt act of relinquishment in perpetuity of all present and "
+                 "future rights to this software under copyright law. THE SOFTWARE IS PROVIDED \"AS "
+                 "IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED "
+                 "TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND "
+                 "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR "
+                 "OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, "
+                 "OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE "
+                 "SOFTWARE.",
 }
 # --- end of fixed values ---
 
@@ -186,27 +240,47 @@ class Template:
 
     def _best(self, text: list[bytes], a: int, b: int) -> tuple[int, int, int] | None:
         """The best alignment in text[a:b]: each place where one of the marks stands is tried
-        as part of the match, with as many words before and after as a match can have."""
+        as part of the match, with as many words before and after as a match can have. The
+        marks are the template's words that are the rarest in the stretch: a word that fills
+        it is none, and a stretch without some of them is left out."""
+        here = Counter(w for w in text[a:b] if w in self.counts)
+        if sum(min(here[w], c) for w, c in self.counts.items()) < self.needed:
+            return None
+        rarest = sorted(self.words, key=lambda w: (here[w], -len(w), w))
+        marks = frozenset(rarest[:len(self.words) - self.needed + 1])
         best = None
         for i in range(a, b):
-            if text[i] not in self.marks:
+            if text[i] not in marks:
                 continue
-            low, high = max(a, i - self.longest + 1), min(b, i + self.longest)
-            pairs = patience(self.words, text[low:high])
-            # the longest run of aligned words that fits into the greatest length
-            first = 0
-            for last in range(len(pairs)):
-                while pairs[last][1] - pairs[first][1] >= self.longest:
-                    first += 1
-                match = (last - first + 1, low + pairs[first][1], low + pairs[last][1] + 1)
-                if match[0] >= self.needed and (best is None or (match[0], best[2] - best[1])
-                                                > (best[0], match[2] - match[1])):
-                    best = match
+            # all that a match with this word can hold, and shorter windows, in which words
+            # that stand twice in the longer one may be unique
+            windows = {(i - self.longest + 1, i + self.longest)} | {
+                (i - k, i - k + self.longest) for k in range(0, self.longest, -(-self.longest // 4))}
+            for low, high in sorted(windows):
+                found = self._run(text, max(a, low), min(b, high))
+                if found and (best is None or (found[0], best[2] - best[1])
+                              > (best[0], found[2] - found[1])):
+                    best = found
             if best and best[0] == len(self.words) == best[2] - best[1]:
                 break
         return best
 
 
+    def _run(self, text: list[bytes], low: int, high: int) -> tuple[int, int, int] | None:
+        """The longest run of aligned words of text[low:high] that fits into the greatest
+        length, if it has enough."""
+        pairs = patience(self.words, text[low:high])
+        best, first = None, 0
+        for last in range(len(pairs)):
+            while pairs[last][1] - pairs[first][1] >= self.longest:
+                first += 1
+            match = (last - first + 1, low + pairs[first][1], low + pairs[last][1] + 1)
+            if match[0] >= self.needed and (best is None or (match[0], best[2] - best[1])
+                                            > (best[0], match[2] - match[1])):
+                best = match
+        return best
+
+
 def scan(text: list[bytes], templates: list[Template]) -> list[tuple[str, int, int, int, int]]:
     """(template, its words, aligned words, first word, end word) of every match."""
     have = set(text)
