@@ -148,7 +148,8 @@ def test_query_equals_duckdb(spark, key):
     from tests.test_catalog import _canon
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF_SMALL}/documents.parquet')")
+    for name in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{SF_SMALL}/{name}.parquet')")
     df = REGISTRY[key](spark, SF_SMALL)
     res = con.execute(ORACLE[key])
     columns, rows = [d[0] for d in res.description], res.fetchall()
