@@ -1,16 +1,29 @@
-"""Main text of web pages: a frequency rule for templates, and names of page furniture.
-
-A text block is known by the path of its elements (names with class, id and role, from the
-root) and its text. Blocks that the share ``SUPPORT`` of a host's distinct pages hold are the
-host's template; the rest of a page is its own. Parts in menus, headers, footers, side bars,
-notices, adverts, forms and comments, as their elements name them, are not part of the article;
-if a page has text in ``article`` or ``main``, that is the article.
-
-No equivalence classes, their order, nesting or slots are deduced, and a host has one template:
-boilerplate of a page type that less than the share of its pages have stays, unless its element
-names it, and what an article repeats at one place on so many pages goes.
-
-Pages are added up per (host, block) with map-side partial sums, so a hot host is no hot task.
+"""Main text of web pages: templates deduced from equivalence classes of tokens, and names of
+page furniture.
+
+A page is a sequence of tokens: starts and ends of block elements, known by their paths (names
+with class, id and role, from the root), and text blocks, known by path and text. Paragraphs,
+headings, list items and cells without a name come with the text and mark no place. A token's
+occurrence vector says how often each distinct page of the host holds it; tokens with one vector
+are an equivalence class. The starts and ends of a class are a template's skeleton:
+
+* it must be *ordered*: the i-th occurrences of its tokens follow each other in one order on
+  every page. Elements that do not keep their places are taken out, each a class of its own;
+* it must be *nested*: on no page may two classes cross. Of two that do, the one on fewer pages
+  falls apart into its elements;
+* between two of its tokens in order is a *slot*, in which other classes and text stand.
+
+A text block belongs to the template if on all pages it stands in the same slots of the classes
+around it, and the share ``SUPPORT`` of the pages of its page type holds it: of the nearest class
+around it that has a named element, or else of the host. So a host has as many templates as it
+has page types. What is left in the slots is the page's own text. Parts in menus, headers,
+footers, side bars, notices, adverts, forms and comments, as their elements name them, are not
+part of the article; if a page has text in ``article`` or ``main``, that is the article.
+
+Vectors are exclusive-or sums of 128 bits over (page, occurrence), so a hot host is added up in
+partial sums and no vector is ever collected. A class must be on ``TYPE_SHARE`` of the host's
+pages: all of a host's classes together have at most 1 / TYPE_SHARE times the tokens of its
+average page, which bounds what is kept per host.
 """
 
 from __future__ import annotations
@@ -22,14 +35,18 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiframe.llm.common import stored
 
-#: a template token is on at least this share of a host's pages, and on so many of them
+#: a text of the template is on at least this share of the pages of its type
 SUPPORT = 0.6
+#: a class is on at least so many pages of a host, and on this share of them
 MIN_PAGES = 5
+TYPE_SHARE = 0.1
+#: what a token is; its two lowest bits
+TEXT, START, NAMED_START, END = range(4)
 
 # --- fixed values: names from the HTML standard, and common names of page furniture ---
 BLOCKS = frozenset(
@@ -38,6 +55,10 @@ BLOCKS = frozenset(
     "optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
+#: elements that come with the text in them
+CARRIERS = frozenset(
+    "address blockquote caption center dd dir dt figcaption h1 h2 h3 h4 h5 h6 hr legend li optgroup "
+    "option p pre summary tbody td tfoot th thead tr".split())
 #: an open element of the first name ends where one of the others starts
 IMPLIED_END = {
     "p": BLOCKS - frozenset("body caption head html legend option optgroup tbody td tfoot th thead tr "
@@ -190,8 +211,37 @@ def tokens(page: str) -> Iterator[tuple[str, str | None, bool, bool]]:
             yield at[1], text, at[2], at[3]
 
 
-def _token_hash(path: str, text: str) -> int:
-    return xxhash.xxh64_intdigest(f"{path}\n{text}".encode("utf-8", "replace")) - (1 << 63)
+def _token(path: str, text: str, kind: int) -> int:
+    found = xxhash.xxh64_intdigest(f"{path}\n{text}".encode("utf-8", "replace"))
+    return (found & ~3 | kind) - (1 << 63)
+
+
+def page_tokens(page: str) -> list[int]:
+    """The page's tokens in order: starts and ends of block elements, but for text carriers
+    without a name, and text blocks. Of furniture only the outermost element counts."""
+    out: list[int] = []
+    open_: list[tuple[str, bool]] = []  # path, furniture
+
+    def holds(outer: str, path: str, text: str | None) -> bool:
+        return path.startswith(outer) and (path[len(outer):len(outer) + 1] == "/"
+                                           or text is not None and path == outer)
+
+    for path, text, furniture, _ in tokens(page):
+        while open_ and not holds(open_[-1][0], path, text):
+            out.append(_token(open_.pop()[0], "", END))
+        if text is not None:
+            if not furniture:
+                out.append(_token(path, text, TEXT))
+        elif not (furniture and open_ and open_[-1][1]):
+            step = path[path.rfind("/") + 1:]
+            if step in CARRIERS:
+                continue
+            named = " " in step
+            out.append(_token(path, "", NAMED_START if named else START))
+            open_.append((path, furniture))
+    while open_:
+        out.append(_token(open_.pop()[0], "", END))
+    return out
 
 
 def _host(url: Column) -> Column:
@@ -200,62 +250,194 @@ def _host(url: Column) -> Column:
     return F.regexp_replace(found, "^.*@", "")
 
 
-def distinct_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(host, html, copy) of every row, and (h_host, distinct_pages). ``copy`` is the page's
-    128-bit digest if the host has it more than once, else NULL."""
-    page = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(_host(F.col("url")).alias("host"), page.alias("html"),
-                        F.unhex(F.md5(page.cast("binary"))).alias("digest"))
-    counts = stored(rows.groupBy("host", "digest").agg(F.count(F.lit(1)).alias("n")), "page-digests")
-    copies = counts.filter("n > 1").select(F.col("host").alias("c_host"), F.col("digest").alias("copy"))
-    marked = rows.join(copies, (F.col("host") == F.col("c_host")) & (F.col("digest") == F.col("copy")),
-                       "left").select("host", "html", "copy")
-    return marked, counts.groupBy(F.col("host").alias("h_host")).agg(
-        F.count(F.lit(1)).alias("distinct_pages"))
-
-
-def occurrences(pages: DataFrame) -> DataFrame:
-    """(host, token, n_pages): per host and text block the distinct pages that hold it.
-    Furniture is left out. ``pages`` has host, html and copy: of the rows with one copy
-    digest, one counts."""
-    kind = "host string, token long, copy binary, n_pages long"
-    names = [c.split()[0] for c in kind.split(", ")]
-    types = [pa.string(), pa.int64(), pa.binary(), pa.int64()]
+def sequences(pages: DataFrame) -> DataFrame:
+    """(host, page, tokens, nth), one row per distinct page of a host: its 128-bit digest, its
+    tokens in order, and how often each stood in the page before."""
 
     def run(batches):
         for batch in batches:
-            sums: Counter = Counter()
-            counted = set()
-            for host, page, copy in zip(*(batch.column(c) for c in ("host", "html", "copy"))):
-                host, copy = host.as_py(), copy.as_py()
-                if copy is not None:
-                    if (host, copy) in counted:
-                        continue
-                    counted.add((host, copy))
-                sums.update({(host, _token_hash(path, text), copy)
-                             for path, text, furniture, _ in tokens(page.as_py())
-                             if text is not None and not furniture})
-            columns = list(zip(*((*key, n) for key, n in sums.items()))) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
-
-    # batches that hold copies of one page agree on its rows: one of them counts
-    once = pages.mapInArrow(run, kind).groupBy("host", "token", "copy").agg(
-        F.when(F.col("copy").isNull(), F.sum("n_pages")).otherwise(F.max("n_pages")).alias("n_pages"))
-    return once.groupBy("host", "token").agg(F.sum("n_pages").alias("n_pages"))
-
-
-def templates(pages: DataFrame, support: float = SUPPORT, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(t_host, boilerplate): per host the tokens of the text blocks in its template.
-
-    Those on ``min_pages`` pages and on the share ``support`` of the host's distinct pages.
+            columns: list[list] = [[], [], [], []]
+            for host, page in zip(batch.column("host"), batch.column("html")):
+                host, page = host.as_py(), page.as_py()
+                found = page_tokens(page)
+                seen: Counter = Counter()
+                nth = []
+                for token in found:
+                    nth.append(seen[token])
+                    seen[token] += 1
+                digest = xxhash.xxh3_128_digest(f"{host}\n{page}".encode("utf-8", "replace"))
+                for column, value in zip(columns, (host, digest, found, nth)):
+                    column.append(value)
+            types = [pa.string(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)],
+                                             ["host", "page", "tokens", "nth"])
+
+    rows = pages.select(_host(F.col("url")).alias("host"),
+                        F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    found = rows.mapInArrow(run, "host string, page binary, tokens array<long>, nth array<int>")
+    return found.dropDuplicates(["host", "page"])
+
+
+def _kind(token: Column) -> Column:
+    return token.bitwiseAND(F.lit(3))
+
+
+def _occurrences(pages: DataFrame) -> DataFrame:
+    return pages.select("host", "page", F.posexplode(F.arrays_zip("tokens", "nth")).alias("at", "x")).select(
+        "host", "page", "at", F.col("x.tokens").alias("token"), F.col("x.nth").alias("nth"))
+
+
+def equivalence_classes(pages: DataFrame, min_pages: int = MIN_PAGES,
+                        type_share: float = TYPE_SHARE) -> DataFrame:
+    """(host, token, n_pages, distinct_pages, class) of the tokens on ``min_pages`` pages and on
+    the share ``type_share`` of the host's; ``pages`` as from ``sequences``. Tokens of one
+    class are on the same pages, equally often on each."""
+    nth, page = F.col("nth"), F.col("page")
+    vectors = _occurrences(pages).groupBy("host", "token").agg(
+        F.sum((nth == 0).cast("long")).alias("n_pages"),
+        F.bit_xor(F.xxhash64(page, nth)).alias("v1"), F.bit_xor(F.xxhash64(nth, page)).alias("v2"))
+    of_host = pages.groupBy("host").agg(F.count(F.lit(1)).alias("distinct_pages"))
+    return vectors.filter(F.col("n_pages") >= min_pages).join(of_host, "host").filter(
+        F.col("n_pages") >= type_share * F.col("distinct_pages")).select(
+        "host", "token", "n_pages", "distinct_pages", F.xxhash64("v1", "v2").alias("class"))
+
+
+def in_order(pages: DataFrame, classes: DataFrame) -> DataFrame:
+    """``classes`` with size and rank. An element whose start and end have one rank each among
+    the starts and ends of their class, in every round on every page, keeps its place; another
+    becomes a class of its own. Texts have no rank."""
+    element = (_kind(F.col("token")) != TEXT).cast("int")
+    sizes = classes.groupBy("host", "class").agg(F.sum(element).alias("size"))
+    marks = classes.filter(element == 1).join(sizes, ["host", "class"])
+    rounds = Window.partitionBy("page", "class").orderBy("at")
+    ranked = _occurrences(pages).join(marks.select("host", "token", "class", "size"), ["host", "token"]).select(
+        "host", "token", (F.row_number().over(rounds) - 1 - F.col("nth") * F.col("size")).alias("rank"))
+    places = ranked.groupBy("host", "token").agg(F.min("rank").alias("low"), F.max("rank").alias("high"))
+    both = Window.partitionBy("host", F.shiftright("token", 2))
+    keeps = F.min(F.col("low") == F.col("high")).over(both)
+    split = marks.drop("size").join(places, ["host", "token"]).withColumn("keeps", keeps).withColumn(
+        "class", F.when(F.col("keeps"), F.col("class")).otherwise(
+            F.xxhash64("class", F.shiftright("token", 2)))).drop("keeps")
+    members = Window.partitionBy("host", "class")
+    skeleton = split.withColumn("size", F.count(F.lit(1)).over(members).cast("int")).withColumn(
+        "rank", (F.row_number().over(members.orderBy("low")) - 1).cast("int")).drop("low", "high")
+    texts = classes.filter(element == 0).withColumn("size", F.lit(0)).withColumn("rank", F.lit(-1))
+    return skeleton.unionByName(texts)
+
+
+_EVENT = ["at", "token", "class", "rank", "size", "n_pages"]
+
+
+def _events(pages: DataFrame, classes: DataFrame) -> DataFrame:
+    """(host, events): per page the tokens of its classes in page order."""
+    found = _occurrences(pages).join(classes, ["host", "token"])
+    return found.groupBy("host", "page").agg(
+        F.array_sort(F.collect_list(F.struct(*_EVENT))).alias("events")).select("host", "events")
+
+
+def _page_events(column: pa.Array) -> Iterator[list[tuple]]:
+    """The events of each row, each as (token, class, rank, size, n_pages)."""
+    fields = column.flatten()
+    values = list(zip(*(fields.field(name).to_pylist() for name in _EVENT[1:])))
+    end = 0
+    for length in column.value_lengths().to_pylist():
+        end += length or 0
+        yield values[end - (length or 0):end]
+
+
+def crossed(events: list[tuple]) -> set[int]:
+    """The classes of a page that cross another one which goes before: on more pages, larger, or
+    of smaller number. Two cross if one goes on while a round of the other, begun in its slot,
+    is still open."""
+    lost: set[int] = set()
+    open_: list[tuple] = []
+    for _, class_, rank, size, n_pages in events:
+        if size < 2:
+            continue
+        key = (-n_pages, -size, class_)
+        if rank == 0:
+            open_.append(key)
+            continue
+        for i in range(len(open_) - 1, -1, -1):
+            if open_[i] == key:
+                if rank == size - 1:
+                    del open_[i]
+                break
+            lost.add(max(open_[i], key)[2])
+    return lost
+
+
+def text_places(events: list[tuple], lost: set[int], named: set[int]) -> Iterator[tuple[int, int, int]]:
+    """(token, place, pages) of each text: a digest of the slots around it, and on how many pages
+    the nearest class with a named element around it is, 0 if there is none. Classes on fewer
+    pages than the text say nothing of its place. ``lost`` classes are their single elements."""
+    open_: dict[int, tuple[int, int, bool]] = {}
+    for token, class_, rank, size, n_pages in events:
+        if size == 0:
+            around = [(c, slot, n, name) for c, (slot, n, name) in open_.items() if n >= n_pages]
+            place = xxhash.xxh64_intdigest(repr([x[:2] for x in around])) - (1 << 63)
+            yield token, place, next((n for _, _, n, name in reversed(around) if name), 0)
+            continue
+        name = class_ in named
+        if class_ in lost:
+            class_, rank, size, name = token >> 2, int(token & 3 == END), 2, token & 3 == NAMED_START
+        if rank == size - 1:
+            open_.pop(class_, None)
+        elif rank == 0 or class_ in open_:
+            open_[class_] = (rank, n_pages, open_[class_][2] if rank else name)
+
+
+def templates(pages: DataFrame, support: float = SUPPORT, min_pages: int = MIN_PAGES,
+              type_share: float = TYPE_SHARE) -> DataFrame:
+    """(t_host, boilerplate): per host the tokens of the text blocks in its templates.
+
     Copies of a page count once. Hosts with fewer than ``min_pages`` distinct pages have no
-    template.
+    template; where no text is on enough pages, no order or nesting has to be found.
     """
-    marked, of_host = distinct_pages(pages)
-    tokens_ = stored(occurrences(marked).filter(F.col("n_pages") >= min_pages), "page-tokens")
-    held = tokens_.join(of_host, F.col("host") == F.col("h_host")).filter(
-        F.col("n_pages") >= support * F.col("distinct_pages"))
-    return held.groupBy(F.col("host").alias("t_host")).agg(
+    rows = stored(sequences(pages), "page-sequences")
+    held = stored(equivalence_classes(rows, min_pages, type_share), "page-tokens")
+    hosts = held.filter(_kind(F.col("token")) == TEXT).select("host").distinct()
+    rows = rows.join(hosts, "host", "left_semi")
+    classes = stored(in_order(rows, held.join(hosts, "host", "left_semi")), "page-classes")
+
+    def cross(batches):
+        for batch in batches:
+            found = {(host, class_) for host, events in
+                     zip(batch.column("host").to_pylist(), _page_events(batch.column("events")))
+                     for class_ in crossed(events)}
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.int64())],
+                ["host", "class"])
+
+    events = stored(_events(rows, classes), "page-events")
+    lost = stored(events.mapInArrow(cross, "host string, class long").distinct(), "page-crossings")
+    invalid = lost.groupBy("host").agg(F.collect_list("class").alias("lost"))
+    type_marks = classes.filter(_kind(F.col("token")) == NAMED_START).groupBy("host").agg(
+        F.collect_set("class").alias("named"))
+
+    def place(batches):
+        kind = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        for batch in batches:
+            found: dict[tuple, tuple] = {}
+            sets: dict[str, tuple[set, set]] = {}
+            for i, (host, page) in enumerate(zip(batch.column("host").to_pylist(),
+                                                 _page_events(batch.column("events")))):
+                if host not in sets:
+                    sets[host] = tuple(set(batch.column(c)[i].as_py() or ()) for c in ("lost", "named"))
+                lost_, named = sets[host]
+                for token, at, n in text_places(page, lost_, named):
+                    low, high, least = found.get((host, token), (at, at, n))
+                    found[host, token] = min(low, at), max(high, at), min(least, n)
+            columns = list(zip(*((*key, *value) for key, value in found.items()))) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kind)],
+                                             ["host", "token", "low", "high", "type_pages"])
+
+    places = events.join(invalid, "host", "left").join(type_marks, "host", "left").mapInArrow(
+        place, "host string, token long, low long, high long, type_pages long").groupBy("host", "token").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"), F.min("type_pages").alias("type_pages"))
+    among = F.when(F.col("type_pages") > 0, F.col("type_pages")).otherwise(F.col("distinct_pages"))
+    return places.filter("low = high").join(classes, ["host", "token"]).filter(
+        F.col("n_pages") >= support * among).groupBy(F.col("host").alias("t_host")).agg(
         F.collect_list("token").alias("boilerplate"))
 
 
@@ -265,7 +447,7 @@ def main_text(page: str, boilerplate: set[int]) -> str:
     furniture in an article too, as the contract drops headers: a headline in it goes."""
     inside, anywhere = [], []
     for path, text, furniture, content in tokens(page):
-        if text is None or furniture or boilerplate and _token_hash(path, text) in boilerplate:
+        if text is None or furniture or boilerplate and _token(path, text, TEXT) in boilerplate:
             continue
         anywhere.append(text)
         if content:

@@ -409,6 +409,113 @@ def test_the_template_is_a_share_of_the_hosts_pages(spark):
     assert [(r.t_host, len(r.boilerplate)) for r in got] == [("12.example", 1)]     # 60 % of 20
 
 
+def test_each_page_type_has_its_template(spark):
+    post = "<html><body><div class=post><p>{1}</p><p>text {0}</p></div></body></html>"
+    item = ("<html><body><div class=price><p>Free shipping</p>{0} euro</div><p>Seen by others</p>"
+            "<div class=note><p>Ask us</p><p>about {0}</p></div></body></html>")
+    rows = [(i, "http://h.example/", item.format(i), None, None) for i in range(10)]
+    rows += [(100 + i, "http://h.example/", post.format(i, "often told" if i < 10 else f"told {i}"), None, None)
+             for i in range(30)]
+    got = {r.page_id: r.text for r in H.extract_text(pages(spark, rows)).collect()}
+    # a quarter of the host's pages, but all of their type
+    assert all(got[i] == f"{i} euro\nabout {i}" for i in range(10))
+    assert all(got[100 + i] == f"{'often told' if i < 10 else f'told {i}'}\ntext {i}" for i in range(30))
+
+
+@pytest.mark.parametrize("moves, gone", [(False, True), (True, False)])
+def test_template_text_keeps_its_slot(spark, moves, gone):
+    page = "<html><body>{0}<div class=a><p>own {2}</p></div>{1}</body></html>"
+    block = "<p>on every page</p>"
+    rows = [(i, "http://h.example/", page.format(*(("", block) if moves and i % 2 else (block, "")), i), None, None)
+            for i in range(20)]
+    got = {r.page_id: r.text for r in H.extract_text(pages(spark, rows)).collect()}
+    assert all(("on every page" not in got[i]) == gone and f"own {i}" in got[i] for i in range(20))
+
+
+def test_page_tokens_are_starts_texts_and_ends():
+    page = "<div class=a><p>one<p><b>two</b></div><nav><ul><li>menu</ul></nav><p>end"
+    found = H.page_tokens(page)
+    assert [t & 3 for t in found] == [2, 0, 0, 3, 1, 3, 0]
+    assert found[0] >> 2 == found[3] >> 2 and found[4] >> 2 == found[5] >> 2 != found[0] >> 2
+
+
+def test_classes_that_cross():
+    def events(word, sizes):      # a letter's class, its tokens numbered in order of appearance
+        seen: dict = {}
+        out = []
+        for x in word:
+            out.append((0, ord(x), seen.get(x, 0) % sizes[x], sizes[x], {"a": 9, "b": 7, "c": 5}[x]))
+            seen[x] = seen.get(x, 0) + 1
+        return out
+    sizes = {"a": 3, "b": 2, "c": 2}
+    assert H.crossed(events("abbacca", sizes)) == set()           # each in one slot
+    assert H.crossed(events("abbbba" + "a", sizes)) == set()      # two rounds in a slot
+    assert H.crossed(events("abaacbc", sizes)) == {ord("b"), ord("c")}
+    assert H.crossed(events("baaab" + "cc", sizes)) == set()      # the larger within the smaller
+    assert H.crossed(events("acbcbaa", sizes)) == {ord("c")}
+
+
+def _random_site(rng, n):
+    """Pages of two types with parts that come and go, repeat and move."""
+    out = []
+    for i in range(n):
+        parts = ["<div class=top><p>Welcome</p></div>"] * (rng.random() < 0.9)
+        parts += [f"<div class=item><p>Buy</p><p>thing {i} {j}</p></div>" for j in range(rng.randint(0, 3))]
+        parts += ["<section id=x><p>one</p><ul><li>two<li>three</ul></section>"] * (i % 3 == 0)
+        parts += [f"<p>own {i}</p>", "<div><p>moving</p></div>"]
+        if rng.random() < 0.5:
+            rng.shuffle(parts)
+        out.append(f"<html><body>{''.join(parts)}</body></html>")
+    return out + out[:5]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_classes_against_whole_occurrence_vectors(spark, seed):
+    rng = random.Random(seed)
+    site = _random_site(rng, 40)
+    rows = [(i, f"http://{i % 2}.example/", page, None, None) for i, page in enumerate(site)]
+    seqs = H.sequences(pages(spark, rows)).cache()
+    classes = H.equivalence_classes(seqs).cache()
+    got = {(r.host, r.token): r for r in H.in_order(seqs, classes).collect()}
+    keys = {(r.host, r.token): r["class"] for r in classes.collect()}
+    for host in ("0.example", "1.example"):
+        own = [H.page_tokens(p) for p in {p for i, p in enumerate(site) if f"{i % 2}.example" == host}]
+        vectors = {t: tuple(p.count(t) for p in own) for p in own for t in p}
+        vectors = {t: v for t, v in vectors.items()
+                   if sum(map(bool, v)) >= max(H.MIN_PAGES, H.TYPE_SHARE * len(own))}
+        assert {t for h, t in got if h == host} == set(vectors)
+        together = {}
+        for t, v in vectors.items():
+            together.setdefault(v, set()).add(t)
+            assert got[host, t].n_pages == sum(map(bool, v)) and got[host, t].distinct_pages == len(own)
+        found = {}
+        for t in vectors:
+            found.setdefault(keys[host, t], set()).add(t)
+        assert set(map(frozenset, found.values())) == set(map(frozenset, together.values()))
+        # the skeleton of a class that stays together follows in one order, round by round
+        skeletons = {}
+        for t in vectors:
+            if t & 3 != H.TEXT:
+                skeletons.setdefault(got[host, t]["class"], []).append(t)
+        for members in skeletons.values():
+            order = sorted(members, key=lambda t: got[host, t].rank)
+            assert [got[host, t].rank for t in order] == list(range(len(order)))
+            assert {got[host, t].size for t in order} == {len(order)}
+            for p in own:
+                kept = [t for t in p if t in set(members)]
+                assert kept == order * (len(kept) // len(order))
+        # and no element that keeps its place in the whole class was taken out of it
+        for tokens_ in together.values():
+            marks = {t for t in tokens_ if t & 3 != H.TEXT}
+            places = {}
+            for p in own:
+                for at, t in enumerate(x for x in p if x in marks):
+                    places.setdefault(t, set()).add(at % len(marks))
+            moved = {t >> 2 for t in marks if len(places[t]) > 1}
+            for t in marks:
+                assert (got[host, t]["class"] == keys[host, t]) == (t >> 2 not in moved)
+
+
 def test_a_part_of_a_name_makes_no_furniture(spark):
     cases = {
         "<main><div class='post-with-sidebar'><p>real article text</p></div></main>": "real article text",
