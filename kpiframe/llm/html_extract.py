@@ -392,13 +392,11 @@ def templates(pages: DataFrame, support: float = SUPPORT, min_pages: int = MIN_P
     """(t_host, boilerplate): per host the tokens of the text blocks in its templates.
 
     Copies of a page count once. Hosts with fewer than ``min_pages`` distinct pages have no
-    template; where no text is on enough pages, no order or nesting has to be found.
+    template.
     """
     rows = stored(sequences(pages), "page-sequences")
     held = stored(equivalence_classes(rows, min_pages, type_share), "page-tokens")
-    hosts = held.filter(_kind(F.col("token")) == TEXT).select("host").distinct()
-    rows = rows.join(hosts, "host", "left_semi")
-    classes = stored(in_order(rows, held.join(hosts, "host", "left_semi")), "page-classes")
+    classes = stored(in_order(rows, held), "page-classes")
 
     def cross(batches):
         for batch in batches:
