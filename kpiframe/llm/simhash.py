@@ -1,18 +1,21 @@
-"""SimHash near-dedup by tiled exact comparison.
-
-Every distinct fingerprint meets every other one that can be within the radius: the
-fingerprints are range-sorted by population counts and cut into tiles; a pair of tiles is
-compared (exclusive-or and bit counts over numpy blocks) unless the population counts of the
-two tiles, of the whole word or summed over its 16-bit quarters, differ by more than the
-radius. Compared pairs are not emitted: a task returns a spanning forest of the links it
-found, at most one row per fingerprint of its two tiles, which keeps every component.
-
-The comparison is exact and so its work is quadratic in the number of distinct fingerprints,
-lowered by the tiles that are skipped; the links and the copies are not.
+"""SimHash near-dedup by exact comparison within buckets.
+
+Two fingerprints that differ in at most ``radius`` bits agree in one of ``radius`` + 1 runs
+of bits at least, however the bits are cut into runs. So every distinct fingerprint is put
+into one bucket per run, by its bits there, and only fingerprints of a bucket are compared
+(exclusive-or and bit counts over numpy arrays). A bucket that is still large is cut again,
+by runs of the bits that are left: between tasks while it has more than ``TILE``
+fingerprints, inside a task below that. Where cutting does not lower the work (fingerprints
+that are all alike), a bucket is compared whole, in pairs of tiles if it is large.
+
+Compared pairs are not emitted: a task returns a spanning forest of the links it found, at
+most one row per fingerprint that it read, which keeps every component.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -24,9 +27,13 @@ from kpiframe.llm.common import stored, text_bytes
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
-#: distinct fingerprints in one tile, and in one block inside a task
+#: distinct fingerprints in one bucket at most, and in one block inside a task
 TILE = 16_384
 BLOCK = 512
+#: buckets of up to so many fingerprints are compared all at once
+FEW = 512
+#: rows that a task reads, in tiles
+TASK = 8
 #: shingles hashed before their bits are counted: bounds memory for very long texts
 SHINGLE_BATCH = 65_536
 
@@ -100,9 +107,82 @@ def _root(parent: list[int], i: int) -> int:
     return i
 
 
+def _runs(bits: int, radius: int) -> list[int]:
+    """The bits that are set in ``bits``, cut into ``radius`` + 1 runs. Values that differ in
+    at most ``radius`` bits, all of them among these, agree in one run at least."""
+    places = [1 << k for k in range(64) if bits >> k & 1]
+    cuts = [len(places) * i // (radius + 1) for i in range(radius + 2)]
+    return [sum(places[start:stop]) for start, stop in zip(cuts, cuts[1:])]
+
+
 def linked(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS) -> np.ndarray:
     """Links among ``a`` (``b`` None) or between ``a`` and ``b``, within ``radius`` bits, as
     a spanning forest: rows (fingerprint, fingerprint)."""
+    if b is None:
+        return linked_in(np.zeros(len(a), np.int64), a, radius)
+    return _compared(a, b, radius)
+
+
+def linked_in(buckets: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """Links between fingerprints of the same bucket, within ``radius`` bits, as a spanning
+    forest: rows (fingerprint, fingerprint)."""
+    values, of_row = np.unique(fps, return_inverse=True)
+    label = np.arange(len(values))  # the same for values that links join so far
+    out: list[np.ndarray] = []
+
+    def join(a: np.ndarray, b: np.ndarray) -> None:
+        nonlocal label
+        apart = label[a] != label[b]
+        if not apart.any():
+            return
+        parts, ends = np.unique(label[np.column_stack([a, b])[apart]], return_inverse=True)
+        parent, kept = list(range(len(parts))), []
+        for u, v in ends.reshape(-1, 2).tolist():
+            u, v = _root(parent, u), _root(parent, v)
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+                kept.append((u, v))
+        out.append(parts[kept])
+        now = np.arange(len(values))
+        now[parts] = parts[[_root(parent, k) for k in range(len(parts))]]
+        label = now[label]
+
+    def search(keys: np.ndarray, at: np.ndarray) -> None:
+        order = np.lexsort((at, keys))
+        keys, at = keys[order], at[order]
+        fps = values[at]
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        sizes = np.diff(np.append(starts, len(keys)))
+        ends = np.repeat(starts + sizes, sizes)
+        first = np.flatnonzero(np.repeat(sizes <= FEW, sizes))
+        for step in range(1, FEW):
+            first = first[first + step < ends[first]]
+            if not len(first):
+                break
+            near = first[np.bitwise_count(fps[first] ^ fps[first + step]) <= radius]
+            join(at[near], at[near + step])
+        for start, n in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist()):
+            some = fps[start:start + n]
+            parts = []
+            if n > 2 * BLOCK:
+                differing = int(np.bitwise_or.reduce(some ^ some[0]))
+                parts = [some & np.uint64(run) for run in _runs(differing, radius)]
+                pairs = sum(int((np.unique(k, return_counts=True)[1] ** 2).sum()) for k in parts)
+                if 4 * pairs > n * n:  # too much alike: cutting makes no less work
+                    parts = []
+            for part in parts:
+                search(part, at[start:start + n])
+            if not parts:
+                links = np.searchsorted(values, _compared(some, None, radius))
+                join(links[:, 0], links[:, 1])
+
+    if len(fps):
+        search(buckets, of_row)
+    return values[np.concatenate([np.empty((0, 2), np.int64), *out])]
+
+
+def _compared(a: np.ndarray, b: np.ndarray | None, radius: int) -> np.ndarray:
+    """What ``linked`` returns, by blocks of all pairs."""
     a = _in_count_order(np.unique(a))
     other = a if b is None else _in_count_order(np.unique(b))
     both = a if b is None else np.concatenate([a, other])
@@ -137,46 +217,70 @@ def linked(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS) -> np.ndar
     return both[np.array(out, np.int64).reshape(-1, 2)]
 
 
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
+def bucketed(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """(bucket, fp) rows of distinct values of ``fp``: any two that differ in at most
+    ``radius`` bits are together in a bucket, and no bucket has many more than 2 * ``tile``."""
+    def sized(rows: DataFrame, *by: str) -> DataFrame:
+        return stored(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), "simhash-sizes")
+
+    key = F.col("fp").bitwiseAND(F.col("mask"))
+    rows = fps.select("fp", F.lit(0).cast("long").alias("mask")).withColumn("key", key)
+    sizes = sized(rows, "mask", "key")
+    out = []
+    while masks := [r.mask for r in sizes.filter(F.col("n") > tile)
+                    .select("mask").distinct().collect()]:
+        # what is broadcast here has one row per ``tile`` rows at most
+        large = F.broadcast(sizes.filter(F.col("n") > tile))
+        out.append(rows.join(large, ["mask", "key"], "left_anti")
+                   .select(F.xxhash64("mask", "key").alias("bucket"), "fp"))
+        # runs of the bits by which no bucket is cut yet
+        runs = F.create_map(*[c for m in masks for c in (F.lit(m).cast("long"), F.array(*[
+            F.lit(m | _signed(run)).cast("long") for run in _runs(~m & (1 << 64) - 1, radius)]))])
+        parts = rows.join(large, ["mask", "key"]).select(
+            F.struct("mask", "key", "n").alias("whole"), "fp",
+            F.explode(runs[F.col("mask")]).alias("mask")).withColumn("key", key)
+        counts = sized(parts, "whole", "mask", "key")
+        pairs = F.sum(F.col("n").cast("double") * F.col("n"))
+        less = stored(counts.groupBy("whole").agg(pairs.alias("pairs")).select(
+            "whole", (2 * F.col("pairs") <= F.pow("whole.n", F.lit(2))).alias("less")),
+            "simhash-less")
+        # fingerprints too much alike: every two tiles of the bucket are a bucket
+        alike = F.broadcast(less.filter("not less").select(
+            "whole.mask", "whole.key", F.ceil(F.col("whole.n") / tile).cast("int").alias("tiles")))
+        mine = F.pmod(F.xxhash64("fp"), "tiles").cast("int")
+        out.append(rows.join(alike, ["mask", "key"]).withColumn("mine", mine)
+                   .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+                   .filter("mine <> other")
+                   .select(F.xxhash64("mask", "key", F.least("mine", "other"),
+                                      F.greatest("mine", "other")).alias("bucket"), "fp"))
+        less = F.broadcast(less.filter("less"))
+        rows = parts.join(less, "whole").select("fp", "mask", "key")
+        sizes = stored(counts.join(less, "whole").groupBy("mask", "key")
+                       .agg(F.sum("n").alias("n")), "simhash-sizes")
+    out.append(rows.select(F.xxhash64("mask", "key").alias("bucket"), "fp"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def fingerprint_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """(x, y) links between the distinct values of ``fp`` that keep the components of
     "at most ``radius`` differing bits"."""
-    fps = fps.select("fp").distinct()
-    halves = [F.bit_count(F.shiftright("fp", 16 * i).bitwiseAND(F.lit(0xFFFF))).alias(f"q{i}")
-              for i in range(4)]
-    counted = stored(fps.select("fp", F.bit_count("fp").alias("pc"), *halves), "simhash")
-    n_tiles = max(1, -(-counted.count() // tile))
-    order = ["pc", "q0", "q1", "q2", "q3", "fp"]
-    # one row per tile: joins below carry tiles, not fingerprints, and make one row per pair
-    tiles = stored(counted.repartitionByRange(n_tiles, *order)
-                   .withColumn("tile", F.spark_partition_id()).groupBy("tile")
-                   .agg(F.collect_list("fp").alias("fps"),
-                        *[f(c).alias(f"{n}_{c}") for c in order[:-1]
-                          for n, f in (("lo", F.min), ("hi", F.max))]), "simhash-tiles")
-
-    def boxes(mark: str, reach: int) -> DataFrame:
-        """Each tile's population counts by name, once per count that it reaches."""
-        counts = F.sequence(F.col("lo_pc") - reach, F.col("hi_pc") + reach)
-        return tiles.select(*[F.col(c).alias(f"{mark}_{c}") for c in tiles.columns if c != "fps"],
-                            F.explode(counts).alias("at"))
-
-    gap = sum(F.greatest(F.lit(0), F.col(f"a_lo_q{i}") - F.col(f"b_hi_q{i}"),
-                         F.col(f"b_lo_q{i}") - F.col(f"a_hi_q{i}")) for i in range(4))
-    pairs = (boxes("a", 0).join(boxes("b", radius), "at")
-             .filter((F.col("a_tile") <= F.col("b_tile")) & (gap <= radius))
-             .select("a_tile", "b_tile").distinct())
-    a = tiles.join(pairs, F.col("tile") == F.col("a_tile")) \
-        .select("a_tile", "b_tile", F.lit(True).alias("is_a"), "fps")
-    b = tiles.join(pairs.filter("a_tile < b_tile"), F.col("tile") == F.col("b_tile")) \
-        .select("a_tile", "b_tile", F.lit(False).alias("is_a"), "fps")
-
-    def run(group: pa.Table) -> pa.Table:
-        # one tile, or two: never more than 2 * tile fingerprints
-        values = {is_a: np.array(fps, np.int64).view(np.uint64) for is_a, fps in
-                  zip(group.column("is_a").to_pylist(), group.column("fps").to_pylist())}
-        links = linked(values[True], values.get(False), radius).view(np.int64)
-        return pa.table({"x": links[:, 0], "y": links[:, 1]})
-
-    return a.unionByName(b).groupBy("a_tile", "b_tile").applyInArrow(run, "x long, y long")
+    rows = bucketed(stored(fps.select("fp").distinct(), "simhash"), radius, tile)
+
+    def run(batches):
+        batches = list(batches)  # about TASK tiles, and the rest of a bucket
+        if batches:
+            read = pa.Table.from_batches(batches)
+            links = linked_in(read.column("bucket").to_numpy(),
+                              read.column("fp").to_numpy().view(np.uint64), radius).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])],
+                                             ["x", "y"])
+
+    n_tasks = max(1, -(-rows.count() // (TASK * tile)))
+    return rows.repartition(n_tasks, "bucket").mapInArrow(run, "x long, y long")
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:

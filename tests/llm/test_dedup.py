@@ -88,6 +88,93 @@ def test_linked_keeps_components_and_emits_a_forest():
     assert len(across) < len(fps)
 
 
+def near_pairs(fps, radius):
+    for i, f in enumerate(fps):
+        for j in np.flatnonzero(np.bitwise_count(fps[i + 1:] ^ f) <= radius).tolist():
+            yield i, i + 1 + j
+
+
+def parts(fps, links):
+    """For each of the sorted distinct values, the least index that the links reach."""
+    parent = list(range(len(fps)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+    for a, b in links:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(fps))]
+
+
+def indices(fps, links):
+    return np.searchsorted(fps, np.asarray(links, np.int64).view(np.uint64).reshape(-1, 2)).tolist()
+
+
+def values_of_bits(rng, places, n):
+    """Up to n distinct values that differ in the bits at ``places`` only."""
+    bits = rng.integers(0, 2, (n, len(places)), dtype=np.uint64)
+    return np.unique((bits << np.array(places, np.uint64)).sum(axis=1, dtype=np.uint64) ^ np.uint64(3 << 62))
+
+
+def test_comparisons_do_not_grow_with_the_square(monkeypatch):
+    rng = np.random.default_rng(4)
+    far = np.unique(rng.integers(0, 1 << 64, 40_000, dtype=np.uint64))
+    near = far[:300] ^ rng.integers(1, 16, 300, dtype=np.uint64) << np.uint64(29)  # up to four bits
+    fps = np.unique(np.concatenate([far, near]))
+    compared, count = [], np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda x: compared.append(x.size) or count(x))
+    links = S.linked(fps, None)
+    monkeypatch.undo()
+    assert len(links) == len(fps) - len(far)
+    assert (np.bitwise_count(links[:, 0] ^ links[:, 1]) <= 4).all()
+    assert sum(compared) < 50 * len(fps)
+
+
+@pytest.mark.parametrize("radius", [0, 1, 4, 9])
+def test_buckets_of_any_size_keep_components(radius, monkeypatch):
+    # few, some and many to a bucket; spread, alike and repeated
+    monkeypatch.setattr(S, "FEW", 16, raising=False)
+    monkeypatch.setattr(S, "BLOCK", 32)
+    rng = np.random.default_rng(radius)
+    rows = [(k, f) for k, places in enumerate([range(64), range(0, 64, 2), range(0, 64, 5), range(8)])
+            for f in values_of_bits(rng, places, 700).tolist()] * 2 + [(9, 5), (10, 5)]
+    rng.shuffle(rows)
+    buckets, values = np.array([k for k, _ in rows]), np.array([f for _, f in rows], np.uint64)
+    links = S.linked_in(buckets, values, radius)
+    fps = np.unique(values)
+    want = [(np.searchsorted(fps, own[i]), np.searchsorted(fps, own[j])) for k in np.unique(buckets)
+            for own in [np.unique(values[buckets == k])] for i, j in near_pairs(own, radius)]
+    assert parts(fps, indices(fps, links)) == parts(fps, want)
+    assert len(links) < len(fps)
+    assert S.linked_in(buckets[:0], values[:0], radius).shape == (0, 2)
+
+
+@pytest.mark.parametrize("places, n, tile", [
+    (range(64), 3000, 60), (range(0, 64, 2), 4000, 15), (range(0, 64, 3), 2000, 20), (range(30, 40), 900, 200)])
+def test_links_of_tables_that_are_cut_again(spark, places, n, tile):
+    rng = np.random.default_rng(n)
+    fps = values_of_bits(rng, places, n)
+    flip = values_of_bits(rng, [1, 20, 40, 63], 16)
+    fps = np.unique(np.concatenate([fps, fps[:40] ^ rng.choice(flip, 40)]))
+    pairs = list(near_pairs(fps, 4))
+    table = spark.createDataFrame([(f,) for f in fps.view(np.int64).tolist()], "fp long")
+    rows = S.bucketed(table, tile=tile).collect()
+    buckets = {}
+    for r in rows:
+        buckets.setdefault(r.bucket, set()).add(r.fp)
+    assert max(map(len, buckets.values())) < 4 * tile
+    of = {}
+    for bucket, members in buckets.items():
+        for f in members:
+            of.setdefault(f, set()).add(bucket)
+    signed = fps.view(np.int64).tolist()
+    assert all(of[signed[i]] & of[signed[j]] for i, j in pairs)
+    links = [(r.x, r.y) for r in S.fingerprint_links(table.unionAll(table), tile=tile).collect()]
+    assert parts(fps, indices(fps, links)) == parts(fps, pairs)
+
+
 def test_chain_of_links_is_one_component(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 100), (7, 3)], "x long, y long")
     got = {r.node: r.root for r in S.components(chain).collect()}
